@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("pii", "secrets")
+_MODULES = ("pii", "secrets", "quality")
 
 
 def all_queries() -> tuple[dict, dict]:
