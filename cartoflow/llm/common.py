@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -60,12 +61,9 @@ def slices(lengths: Iterable[int], limit: int = SLICE_CHARS) -> Iterator[tuple[i
         yield start, end
 
 
-def map_texts(df: DataFrame, per_row: Callable[[str | None], tuple], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and what ``per_row`` makes of each whole text, in one narrow pass over Arrow batches."""
-    spark = df.sparkSession
-    kind = df.schema[id_col].dataType.simpleString()
-    full = StructType.fromDDL(f"`{id_col}` {kind}, {schema}")
-    names = full.fieldNames()
+def map_texts(df: DataFrame, per_slice: Callable[[list[str | None]], list[tuple]], schema: str, id_col: str = "doc_id", text_col: str = "text", limit: int = SLICE_CHARS) -> DataFrame:
+    """``id_col`` and what ``per_slice`` makes of a run of whole texts (a tuple each), in one narrow pass over Arrow batches."""
+    full = StructType.fromDDL(f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {schema}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -73,10 +71,12 @@ def map_texts(df: DataFrame, per_row: Callable[[str | None], tuple], schema: str
         arrow = to_arrow_schema(full)
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
-            for start, end in slices(x or 0 for x in pa.compute.binary_length(column).to_pylist()):
-                made = [per_row(x) for x in column.slice(start, end - start).to_pylist()]
-                columns = list(zip(*made, strict=True))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start).cast(arrow.field(0).type), *(pa.array(c, arrow.field(i + 1).type) for i, c in enumerate(columns))], names=names)
+            for start, end in slices((x or 0 for x in pa.compute.binary_length(column).to_pylist()), limit):
+                made = zip(*per_slice(column.slice(start, end - start).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start).cast(arrow.field(0).type), *(pa.array(c, arrow.field(i + 1).type) for i, c in enumerate(made))], schema=arrow)
 
-    del spark
     return df.select(id_col, text_col).mapInArrow(run, full)
+
+
+def each(per_row: Callable[[str | None], tuple]) -> Callable[[list[str | None]], list[tuple]]:
+    return lambda texts: [per_row(x) for x in texts]
