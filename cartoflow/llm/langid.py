@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -92,10 +93,13 @@ def scores(texts: list[str], table: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, held_out, lang_pred and score, the posterior probability of that language."""
-    full = StructType.fromDDL(f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``columns`` (``id_col`` alone if None) of each row, then held_out, lang_pred and score, the posterior probability of that language."""
+    columns = [id_col] if columns is None else columns
+    added = StructType.fromDDL("held_out boolean, lang_pred string, score double")
+    full = StructType([*(df.schema[c] for c in columns), *added])
     shared = df.sparkSession.sparkContext.broadcast(model)
+    n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -103,7 +107,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
         langs, table = shared.value
         arrow = to_arrow_schema(full)
         for batch in batches:
-            column = batch.column(2)
+            column = batch.column(n + 1)
             for start, end in slices((x or 0 for x in pa.compute.binary_length(column).to_pylist()), BATCH_CHARS):
                 texts = column.slice(start, end - start).to_pylist()
                 known = [i for i, x in enumerate(texts) if langs and x and _letter.search(x)]
@@ -114,9 +118,11 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
                     sure = 1 / np.exp(likely - likely.max(axis=1, keepdims=True)).sum(axis=1)
                     for i, k, p in zip(known, best, sure, strict=True):
                         found[i], score[i] = langs[k], float(p)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start).cast(arrow.field(0).type), batch.column(1).slice(start, end - start), pa.array(found, pa.string()), pa.array(score, pa.float64())], schema=arrow)
+                passed = [batch.column(i).slice(start, end - start).cast(arrow.field(i).type) for i in range(n + 1)]
+                yield pa.RecordBatch.from_arrays([*passed, pa.array(found, pa.string()), pa.array(score, pa.float64())], schema=arrow)
 
-    return df.select(F.col(id_col), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(text_col)).mapInArrow(run, full)
+    given = [F.col(c).alias(f"_{i}") for i, c in enumerate(columns)]
+    return df.select(*given, F.coalesce(held_out(id_col), F.lit(False)).alias("_held"), F.col(text_col).alias("_text")).mapInArrow(run, full)
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

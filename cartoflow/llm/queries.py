@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("pii", "secrets", "quality", "bpe", "media", "langid", "store", "simhash", "suffix")
+_MODULES = ("pii", "secrets", "quality", "bpe", "media", "langid", "store", "simhash", "suffix", "mixing")
 
 
 def all_queries() -> tuple[dict, dict]:

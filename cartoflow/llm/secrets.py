@@ -89,6 +89,21 @@ def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
 
 
+def redact_rows(df: DataFrame, text_col: str = "text", owner_col: str = "source") -> DataFrame:
+    """``df`` with base spans and live opaque runs replaced in ``text_col``, but for widely copied examples.
+
+    What is replaced depends on the text alone, so texts meet their spans by hash.
+    """
+    found = find(df.withColumn("_key", F.md5(text_or_empty(text_col))), "_key", text_col, owner_col)
+    at = lambda k: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"))
+    base = F.concat(*(F.transform(k, at(k)) for k in KINDS[:3]))
+    spans = F.array_union(F.array_except(base, "example"), opaque_spans())
+    todo = found.select(F.col("_key"), spans.alias("_spans")).filter(F.size("_spans") > 0).groupBy("_key").agg(F.first("_spans").alias("_spans"))
+    joined = df.withColumn("_key", F.md5(text_or_empty(text_col))).join(todo, "_key", "left")
+    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("_spans")))
+    return joined.withColumn(text_col, text).select(*df.columns)
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(documents(spark, sf_dir))
     bare = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("").alias("m")))

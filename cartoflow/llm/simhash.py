@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -189,6 +189,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(of, "fp").select(F.col(id_col), "fp", "component_id")
 
 
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each component: the one of the smallest id.
+
+    Of rows that repeat that id one stays, the one of the least text hash.  Rows
+    with a null id cannot be told apart by it and all stay.
+    """
+    first = near_duplicates(df, id_col, text_col).select(F.col("component_id").alias("_first")).filter("_first is not null").distinct()
+    chosen = df.join(first, df[id_col] == first["_first"], "left_semi")
+    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    named = chosen.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
+    return named.unionByName(df.filter(F.col(id_col).isNull()))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
