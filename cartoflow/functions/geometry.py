@@ -46,27 +46,36 @@ def outcode(lat: Column, lon: Column) -> Column:
     return x + y
 
 
+def _clip_round(end: Column, codes: Column) -> Column:
+    """Move one end of a segment to the border that its outcode names first: top, bottom, right, left."""
+    lat1, lon1, lat2, lon2 = (end[c] for c in ("lat1", "lon1", "lat2", "lon2"))
+    out = F.when(codes["a"] != 0, codes["a"]).otherwise(codes["b"])
+    at_lat = lambda b: lon1 + (lon2 - lon1) * (F.col(b) - lat1) / F.nullif(lat2 - lat1, F.lit(0.0))
+    at_lon = lambda b: lat1 + (lat2 - lat1) * (F.col(b) - lon1) / F.nullif(lon2 - lon1, F.lit(0.0))
+    top, bottom, right = (out.bitwiseAND(F.lit(b)) != 0 for b in (8, 4, 2))
+    point = (
+        F.when(top, F.struct(F.col("max_lat").alias("lat"), at_lat("max_lat").alias("lon")))
+        .when(bottom, F.struct(F.col("min_lat").alias("lat"), at_lat("min_lat").alias("lon")))
+        .when(right, F.struct(at_lon("max_lon").alias("lat"), F.col("max_lon").alias("lon")))
+        .otherwise(F.struct(at_lon("min_lon").alias("lat"), F.col("min_lon").alias("lon")))
+    )
+    ends = lambda a, b, c, d: F.struct(a.alias("lat1"), b.alias("lon1"), c.alias("lat2"), d.alias("lon2"))
+    moved = let(point, lambda p: F.when(codes["a"] != 0, ends(p["lat"], p["lon"], lat2, lon2)).otherwise(ends(lat1, lon1, p["lat"], p["lon"])))
+    return F.when((codes["a"] == 0) & (codes["b"] == 0) | (codes["a"].bitwiseAND(codes["b"]) != 0), end).otherwise(moved)
+
+
 def clip_segments(df: DataFrame) -> DataFrame:
     """Rows with lat1, lon1, lat2, lon2 clipped to their box; rows outside go.
 
-    Each round moves one end to the border that its outcode names first (top,
-    bottom, right, left), from the ends as they are by then.
+    The rounds are one fold over the ends, so that no round's expression is
+    copied into the next when Catalyst merges projections.
     """
-    ends = ["lat1", "lon1", "lat2", "lon2"]
-    for _ in range(CLIP_ROUNDS):
-        df = df.withColumns({"_c1": outcode(F.col("lat1"), F.col("lon1")), "_c2": outcode(F.col("lat2"), F.col("lon2"))})
-        df = df.filter(F.col("_c1").bitwiseAND(F.col("_c2")) == 0).withColumn("_out", F.when(F.col("_c1") != 0, F.col("_c1")).otherwise(F.col("_c2")))
-        lat1, lon1, lat2, lon2, out = (F.col(c) for c in (*ends, "_out"))
-        at_lat = lambda b: lon1 + (lon2 - lon1) * (b - lat1) / F.nullif(lat2 - lat1, F.lit(0.0))  # noqa: B023, E731
-        at_lon = lambda b: lat1 + (lat2 - lat1) * (b - lon1) / F.nullif(lon2 - lon1, F.lit(0.0))  # noqa: B023, E731
-        top, bottom, right = (out.bitwiseAND(F.lit(b)) != 0 for b in (8, 4, 2))
-        box = {c: F.col(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")}
-        lat = F.when(top, box["max_lat"]).when(bottom, box["min_lat"]).when(right, at_lon(box["max_lon"])).otherwise(at_lon(box["min_lon"]))
-        lon = F.when(top, at_lat(box["max_lat"])).when(bottom, at_lat(box["min_lat"])).when(right, box["max_lon"]).otherwise(box["min_lon"])
-        moved = df.withColumns({"_lat": F.when(out != 0, lat), "_lon": F.when(out != 0, lon)})
-        first, second = F.col("_c1") != 0, (F.col("_c1") == 0) & (F.col("_c2") != 0)
-        df = moved.withColumns({"lat1": F.when(first, F.col("_lat")).otherwise(lat1), "lon1": F.when(first, F.col("_lon")).otherwise(lon1), "lat2": F.when(second, F.col("_lat")).otherwise(lat2), "lon2": F.when(second, F.col("_lon")).otherwise(lon2)})
-    return df.filter((outcode(F.col("lat1"), F.col("lon1")) == 0) & (outcode(F.col("lat2"), F.col("lon2")) == 0)).drop("_c1", "_c2", "_out", "_lat", "_lon")
+    codes = lambda e: F.struct(outcode(e["lat1"], e["lon1"]).alias("a"), outcode(e["lat2"], e["lon2"]).alias("b"))
+    start = F.struct(*(F.col(c).cast("double").alias(c) for c in ("lat1", "lon1", "lat2", "lon2")))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(CLIP_ROUNDS)), start, lambda e, _: let(codes(e), lambda c: _clip_round(e, c)))
+    inside = let(done, lambda e: let(codes(e), lambda c: F.when((c["a"] == 0) & (c["b"] == 0), e)))
+    kept = df.withColumn("_e", F.explode(F.filter(F.array(inside), lambda e: e.isNotNull())))
+    return kept.withColumns({c: F.col(f"_e.{c}") for c in ("lat1", "lon1", "lat2", "lon2")}).drop("_e")
 
 
 def _clip_edge(points: Column, axis: str, bound: Column, keep_above: bool) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -12,7 +12,10 @@ from ..sources import fixtures as X
 from .duck import by_class, hav, quoted, with_views
 
 QUERIES, ORACLES = {}, {}
-TAGS = F.col("tags")
+
+
+def tags() -> Column:
+    return F.col("tags")
 
 
 def query(name: str, sql: str | None = None):
@@ -37,42 +40,42 @@ ONEWAY = "coalesce(oneway in ('yes', '1', 'true'), false) or coalesce(highway =
 
 @query("road_type", with_views("ways", f"select way_id, {ROAD_TYPE} as road_type, case when coalesce(highway in ({quoted(C.RENDER_PRIMARY)}), false) then 0 else 1 end as loose_type, case {ROAD_TYPE} when 0 then 4 when 1 then 2 else 6 end as stroke from ways"))
 def _road_type(spark: SparkSession, d: str) -> DataFrame:
-    h = tag(TAGS, "highway")
+    h = tag(tags(), "highway")
     return X.way_tags(spark, d).select("way_id", classify.road_type(h).alias("road_type"), classify.road_type_loose(h).alias("loose_type"), classify.road_stroke(classify.road_type(h)).alias("stroke"))
 
 
 @query("road_class_speed_oneway", with_views("ways", f"select way_id, {by_class('highway', 1)} as road_class, {SPEED} as speed, {ONEWAY} as oneway from ways where {by_class('highway', 1)} is not null"))
 def _road_class(spark: SparkSession, d: str) -> DataFrame:
     ways = X.way_tags(spark, d)
-    return ways.select("way_id", classify.road_class(tag(TAGS, "highway")).alias("road_class"), classify.speed_kmh(TAGS).alias("speed"), classify.is_oneway(TAGS).alias("oneway")).filter("road_class is not null")
+    return ways.select("way_id", classify.road_class(tag(tags(), "highway")).alias("road_class"), classify.speed_kmh(tags()).alias("speed"), classify.is_oneway(tags()).alias("oneway")).filter("road_class is not null")
 
 
 @query("hierarchy_level", with_views("ways", f"select level, default_speed, size_deg, size_km, count(*)::bigint as ways from (select {by_class('highway', 2)} as level, {by_class('highway', 3)} as default_speed, case {by_class('highway', 2)} when 0 then 1.0::double when 1 then 0.1 when 2 then 0.01 end as size_deg, case {by_class('highway', 2)} when 0 then 111.0::double when 1 then 11.1 when 2 then 1.1 end as size_km from ways) where level is not null group by all"))
 def _level(spark: SparkSession, d: str) -> DataFrame:
-    code = classify.road_class(tag(TAGS, "highway"))
+    code = classify.road_class(tag(tags(), "highway"))
     ways = X.way_tags(spark, d).select(code.alias("c")).filter("c is not null").select(classify.hierarchy_level(F.col("c")).alias("level"), classify.default_speed(F.col("c")).alias("default_speed"))
     return ways.withColumns({"size_deg": classify.tile_size_deg(F.col("level")), "size_km": classify.tile_size_km(F.col("level"))}).groupBy("level", "default_speed", "size_deg", "size_km").agg(F.count("*").alias("ways"))
 
 
 @query("poi_type", with_views("poi_nodes", f"select node_id, {POI} as poi_type from poi_nodes"))
 def _poi_type(spark: SparkSession, d: str) -> DataFrame:
-    return X.poi_nodes(spark, d).select("node_id", classify.poi_type(TAGS).alias("poi_type"))
+    return X.poi_nodes(spark, d).select("node_id", classify.poi_type(tags()).alias("poi_type"))
 
 
 @query("area_type", with_views("ways", f"select way_id, {AREA} as area_type from ways"))
 def _area_type(spark: SparkSession, d: str) -> DataFrame:
-    return X.way_tags(spark, d).select("way_id", classify.area_type(TAGS).alias("area_type"))
+    return X.way_tags(spark, d).select("way_id", classify.area_type(tags()).alias("area_type"))
 
 
 @query("waterway_type", with_views("ways", f"select way_id, {WATERWAY} as waterway_type, case {WATERWAY} when 0 then 5 when 1 then 2 else 4 end as stroke from ways"))
 def _waterway_type(spark: SparkSession, d: str) -> DataFrame:
-    w = classify.waterway_type(TAGS)
+    w = classify.waterway_type(tags())
     return X.way_tags(spark, d).select("way_id", w.alias("waterway_type"), classify.waterway_stroke(w).alias("stroke"))
 
 
 @query("is_render_way", with_views("ways", f"select way_id, coalesce({ROAD_TYPE} is not null or {POI} is not null or shop = 'mall' or {AREA} is not null or {WATERWAY} is not null, false) as wanted from ways"))
 def _is_render_way(spark: SparkSession, d: str) -> DataFrame:
-    return X.way_tags(spark, d).select("way_id", classify.is_render_way(TAGS).alias("wanted"))
+    return X.way_tags(spark, d).select("way_id", classify.is_render_way(tags()).alias("wanted"))
 
 
 @query(
@@ -84,7 +87,7 @@ def _is_render_way(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def _render_way(spark: SparkSession, d: str) -> DataFrame:
-    ways = X.way_tags(spark, d).withColumn("k", classify.render_way(TAGS, F.col("way_id") % 4 != 0))
+    ways = X.way_tags(spark, d).withColumn("k", classify.render_way(tags(), F.col("way_id") % 4 != 0))
     return ways.select("way_id", F.col("k.kind").alias("kind"), F.col("k.code").alias("code"))
 
 
@@ -97,7 +100,7 @@ CATEGORY = f"""case when place is not null then case when place in ({quoted(C.SE
 @query("place_category", with_views("poi_nodes", f"select node_id, category, case category when 0 then 'City/Town' when 1 then 'Street' when 2 then 'Point of Interest' when 3 then 'Transport' when 4 then 'Natural Feature' else 'Place' end as label, case category when 0 then 'Settlement' when 1 then 'Street' when 2 then 'POI' when 3 then 'Transport' when 4 then 'Natural' else 'Place' end as short_label from (select node_id, {CATEGORY} as category from poi_nodes)"))
 def _category(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("category")
-    return X.poi_nodes(spark, d).select("node_id", classify.place_category(TAGS).alias("category")).select("node_id", "category", classify.category_label(c).alias("label"), classify.category_label(c, mobile=True).alias("short_label"))
+    return X.poi_nodes(spark, d).select("node_id", classify.place_category(tags()).alias("category")).select("node_id", "category", classify.category_label(c).alias("label"), classify.category_label(c, mobile=True).alias("short_label"))
 
 
 @query("gps_status", with_views("gps", "select event_id, case when accuracy_m < 0 then 0 when accuracy_m <= 20 then 2 when accuracy_m <= 100 then 1 else 0 end as status from gps"))

@@ -137,11 +137,15 @@ LITERAL_PLACES = [
 ]
 
 
-def gps_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vehicle, ts, event_id, lat, lon, heading, accuracy_m."""
+def gps_columns(events: DataFrame) -> DataFrame:
+    """vehicle, ts, event_id, lat, lon, heading, accuracy_m of the events table or a stream of it."""
     e = F.col("event_id")
     accuracy = F.when(F.col("event_type") == "error", -1.0).otherwise(F.col("value"))
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("vehicle"), F.col("ts").cast("timestamp").alias("ts"), "event_id", ((47_100_000 + e * 7919 % 40_000) / F.lit(1e6)).alias("lat"), ((8_400_000 + e * 104_729 % 50_000) / F.lit(1e6)).alias("lon"), (e * 37 % 360).cast("double").alias("heading"), accuracy.cast("double").alias("accuracy_m"))
+    return events.select(F.col("user_id").alias("vehicle"), F.col("ts").cast("timestamp").alias("ts"), "event_id", ((47_100_000 + e * 7919 % 40_000) / F.lit(1e6)).alias("lat"), ((8_400_000 + e * 104_729 % 50_000) / F.lit(1e6)).alias("lon"), (e * 37 % 360).cast("double").alias("heading"), accuracy.cast("double").alias("accuracy_m"))
+
+
+def gps_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gps_columns(table(spark, sf_dir, "events"))
 
 
 def route_requests(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:

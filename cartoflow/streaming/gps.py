@@ -44,12 +44,18 @@ def status_changes(fixes: DataFrame) -> DataFrame:
     return out.withColumn("_was", F.lag("status", 1, 0).over(w)).filter("status <> _was").select("vehicle", "ts", "event_id", "status")
 
 
-def effective_heading(fixes: DataFrame, locations: DataFrame, bound: str = "5 seconds") -> DataFrame:
-    """Heading-only updates (vehicle, ts, heading) with the last location of the vehicle that is younger than ``bound``."""
-    a, b = fixes.alias("a"), locations.alias("b")
-    near = (F.col("a.vehicle") == F.col("b.vehicle")) & (F.col("b.ts") <= F.col("a.ts")) & (F.col("b.ts") > F.col("a.ts") - F.expr(f"interval {bound}"))
-    met = a.join(b, near).groupBy(F.col("a.vehicle").alias("vehicle"), F.col("a.ts").alias("ts"), F.col("a.heading").alias("heading"))
-    return met.agg(F.max(F.struct(F.col("b.ts").alias("at"), F.col("b.lat").alias("lat"), F.col("b.lon").alias("lon"))).alias("p")).select("vehicle", "ts", "heading", "p.lat", "p.lon")
+def last_location(updates: DataFrame, locations: DataFrame, bound: str = "5 seconds") -> DataFrame:
+    """vehicle, event_id, heading of heading-only updates, with at, lat, lon of the vehicle's last location
+    if it is younger than ``bound``; updates without one go.
+
+    One ordered pass over both: the last location so far is carried along each vehicle's rows, so no pairs are made.
+    """
+    place = F.struct(F.col("ts").alias("at"), "lat", "lon")
+    rows = locations.select("vehicle", "ts", F.lit(0).alias("_k"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("double").alias("heading"), place.alias("_p"))
+    asked = updates.select("vehicle", "ts", F.lit(1).alias("_k"), "event_id", "heading", F.lit(None).cast(rows.schema["_p"].dataType).alias("_p"))
+    w = Window.partitionBy("vehicle").orderBy("ts", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.unionByName(asked).withColumn("_p", F.last("_p", ignorenulls=True).over(w)).filter("_k = 1")
+    return met.filter(F.col("_p.at") > F.col("ts") - F.expr(f"interval {bound}")).select("vehicle", "event_id", "heading", "_p.at", "_p.lat", "_p.lon")
 
 
 def clean_motion(speed_ms: Column, heading: Column) -> tuple[Column, Column]:
