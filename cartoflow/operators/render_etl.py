@@ -133,7 +133,7 @@ def assemble_rings(members: DataFrame) -> DataFrame:
                     break
             if len(ring) >= 3 and near(ring[0], ring[-1]):
                 done.append([{"lat": float(p["lat"]), "lon": float(p["lon"])} for p in ring])
-        return pd.DataFrame({"rel_id": [pdf["rel_id"].iloc[0]] * len(done), "ring_no": range(len(done)), "points": done})
+        return pd.DataFrame({"rel_id": [pdf["rel_id"].iloc[0]] * len(done), "ring_no": range(len(done)), "points": pd.Series(done, dtype=object)})
 
     return members.select("rel_id", "member_no", "points").groupBy("rel_id").applyInPandas(rings, RING)
 
