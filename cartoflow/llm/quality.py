@@ -18,14 +18,14 @@ from .spans import let
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: Rule: (bad if, good if) over the base counts; between the two it abstains.  Conditions are SQL that Spark and DuckDB both read.
+#: Rule: (bad if, good if) over the base counts; otherwise it abstains; short or repetitive texts speak against a document, others not for it.  Conditions are SQL that Spark and DuckDB both read.
 RULES = {
-    "length": ("n_words < 50", "n_words >= 100"),
-    "word_size": ("word_chars < 3 * n_words or word_chars > 10 * n_words", "2 * word_chars between 7 * n_words and 16 * n_words"),
+    "length": ("n_words < 50", "false"),
+    "word_size": ("word_chars < 3 * n_words or word_chars > 7 * n_words", "2 * word_chars between 8 * n_words and 13 * n_words"),
     "symbols": ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    "lines": ("10 * n_dup_lines > 3 * n_lines", "20 * n_dup_lines <= n_lines"),
-    "repeats": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 15 * n_words"),
-    "letters": ("10 * n_letters < 6 * word_chars", "10 * n_letters >= 8 * word_chars"),
+    "lines": ("10 * n_dup_lines > 3 * n_lines", "false"),
+    "repeats": ("100 * n_repeat_words > 30 * n_words", "false"),
+    "letters": ("10 * n_letters < 9 * word_chars", "100 * n_letters >= 94 * word_chars"),
 }
 #: Rounds of EM, the accuracy each rule starts with, pseudo-counts, and the prior share of good documents and its bounds.
 ROUNDS = 10
