@@ -218,9 +218,9 @@ WALK = "walk as (select point_id as req_id, list_transform(range(least(10, 50 -
 
 
 def walks(spark: SparkSession, d: str) -> DataFrame:
-    size = X.table(spark, d, "part").agg(F.count("*").alias("n"))
-    p = X.query_points(spark, d).join(F.broadcast(size)).select(F.col("point_id").alias("req_id"), (F.col("point_id") * 7919 % F.col("n")).alias("start"), "n")
-    p = p.filter("start div 50 * 50 + 50 <= n")
+    size = X.table(spark, d, "part").count()
+    p = X.query_points(spark, d).select(F.col("point_id").alias("req_id"), (F.col("point_id") * 7919 % size).alias("start"))
+    p = p.filter(f"start div 50 * 50 + 50 <= {size}")
     return p.select("req_id", F.sequence("start", F.col("start") + F.least(F.lit(10), 50 - F.col("start") % 50) - 1).alias("path"))
 
 

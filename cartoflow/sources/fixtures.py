@@ -150,6 +150,5 @@ def gps_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def route_requests(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
     """req_id, src, dst: grid nodes."""
-    size = table(spark, sf_dir, "part").agg(F.count("*").alias("n"))
-    c = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").filter(c.between(1, n)).join(F.broadcast(size)).select(c.alias("req_id"), (c * 7919 % F.col("n")).alias("src"), (c * 104_729 % F.col("n")).alias("dst"))
+    size, c = table(spark, sf_dir, "part").count(), F.col("c_custkey")
+    return table(spark, sf_dir, "customer").filter(c.between(1, n)).select(c.alias("req_id"), (c * 7919 % size).alias("src"), (c * 104_729 % size).alias("dst"))
