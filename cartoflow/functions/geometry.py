@@ -71,6 +71,8 @@ def clip_segments(df: DataFrame) -> DataFrame:
     copied into the next when Catalyst merges projections.
     """
     codes = lambda e: F.struct(outcode(e["lat1"], e["lon1"]).alias("a"), outcode(e["lat2"], e["lon2"]).alias("b"))
+    # ends on one side of the box are told apart in generated code, before the fold
+    df = df.filter(outcode(F.col("lat1"), F.col("lon1")).bitwiseAND(outcode(F.col("lat2"), F.col("lon2"))) == 0)
     start = F.struct(*(F.col(c).cast("double").alias(c) for c in ("lat1", "lon1", "lat2", "lon2")))
     done = F.aggregate(F.sequence(F.lit(1), F.lit(CLIP_ROUNDS)), start, lambda e, _: let(codes(e), lambda c: _clip_round(e, c)))
     inside = let(done, lambda e: let(codes(e), lambda c: F.when((c["a"] == 0) & (c["b"] == 0), e)))
