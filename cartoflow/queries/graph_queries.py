@@ -295,3 +295,21 @@ def _hierarchical(spark: SparkSession, d: str) -> DataFrame:
 def _prune(spark: SparkSession, d: str) -> DataFrame:
     x, y = grid.tile_key("lat", "lon")
     return grid.prune_to_bbox(X.nodes_grid(spark, d).select("node_id", x.alias("tile_x"), y.alias("tile_y")), 47.105, 47.125, 8.415, 8.435)
+
+
+# One graph over all levels: a node is (level, node); nodes at the same place on adjacent levels are tied at no cost.
+KEY = 1_000_000_000
+MULTI = f"{LEVELS}, w as materialized (select level * {KEY} + src as src, level * {KEY} + dst as dst, min({WEIGHT}) as w from edges group by all union all select a.level * {KEY} + a.node_id, b.level * {KEY} + b.node_id, 0 from lv a join lv b using (lat_micro, lon_micro) where abs(a.level - b.level) = 1)"
+
+
+@query("multi_level_costs", with_views(ETL, f"{MULTI}, {COSTS.format(src=2 * KEY + 7)} select id % {KEY} as node_id, min(g)::bigint as cost, (2 - max(id // {KEY}))::int as highest_first from t group by 1"))
+def _multi_level(spark: SparkSession, d: str) -> DataFrame:
+    key = lambda level, node: F.col(level).cast("long") * KEY + F.col(node)
+    edges = written(graph_etl.with_weight(edges_of(spark, d)).withColumn("level", classify.hierarchy_level(F.col("road_class"))), "edges")
+    ends = edges.select("level", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    ties = snap.level_transitions(ends.join(X.nodes_grid(spark, d), "node_id"))
+    own = edges.select(key("level", "src").alias("src"), key("level", "dst").alias("dst"), "weight_cs")
+    across = ties.select(key("src_level", "src").alias("src"), key("dst_level", "dst").alias("dst"), F.col("weight_cs").cast("long").alias("weight_cs"))
+    costs = routing.one_to_all(own.unionByName(across), 2 * KEY + 7)
+    level = F.expr(f"cast(node_id div {KEY} as int)")
+    return costs.withColumn("level", level).groupBy((F.col("node_id") % KEY).alias("node_id")).agg(F.min("cost").alias("cost"), (2 - F.max("level")).alias("highest_first"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from .. import constants as C
 from ..functions import classify, geo, geometry, grid
 from ..functions.classify import tag
 from ..operators import render_etl, search, viewport
+from ..plans.storage import shared_folder
 from ..sources import fixtures as X
 from ..sources import readers
 from .duck import hav, offset, tile, with_views
@@ -376,3 +378,20 @@ def _has_tile(spark: SparkSession, d: str) -> DataFrame:
     la, lo, _ = VEHICLE
     wanted = grid.visible_tiles(spark.createDataFrame([(la, lo)], "lat double, lon double"), "lat", "lon", C.VIEW_RADIUS_DEG).select("tile_x", "tile_y")
     return wanted.join(available, ["tile_x", "tile_y"], "left_semi")
+
+
+# --- what is written, read back
+
+
+@query("write_read_tiles", with_views("poi_nodes", f"{POI_TILES} select tile_x, tile_y, count(*)::bigint as pois from pt where (tile_x, tile_y) in ((841, 4710), (842, 4711), (843, 4713), (1, 1)) group by all"))
+def _written_tiles(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/cartoflow/tiles-{uuid.uuid4().hex}"
+    readers.write_tiles(render_etl.poi_tiles(render_etl.node_pois(X.poi_nodes(spark, d))), path)
+    return readers.read_tiles(spark, path, [(841, 4710), (842, 4711), (843, 4713), (1, 1)]).groupBy("tile_x", "tile_y").agg(F.count("*").alias("pois"))
+
+
+@query("write_read_index", with_views("places", f"{prefix_sql('zug')} select seq, norm, score::int as score from hit"))
+def _written_index(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/cartoflow/index-{uuid.uuid4().hex}"
+    search.write_index(X.places(spark, d), path)
+    return search.prefix_search(spark.read.parquet(path), "zug").select("seq", "norm", "score")
