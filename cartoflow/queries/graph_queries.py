@@ -46,7 +46,7 @@ def edges_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def level_parts(spark: SparkSession, d: str, level: int = LEVEL) -> tuple[DataFrame, DataFrame]:
-    edges = graph_etl.at_level(edges_of(spark, d), level)
+    edges = written(graph_etl.at_level(edges_of(spark, d), level), "edges")  # the numbering and the tiling both read them
     owned = graph_etl.routing_nodes(edges, X.nodes_grid(spark, d), level)
     return owned, graph_etl.tiled_edges(edges, owned)
 
