@@ -38,41 +38,58 @@ from .pretok import pretokens
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-#: Ids that the rolling hash sees, mean chunk length in ids, and the most.
+#: Ids that the rolling hash sees, mean chunk length in ids, and the most; pre-tokens that a Python worker remembers, about.
 WINDOW = 4
 MEAN_CHUNK = 128
 MOST_CHUNK = 1024
-REMEMBERED = 500_000
+REMEMBERED = 1_200_000
 BATCH_CHARS = 1_000_000
 DIGEST = 16
 INDEX = "id {}, n_tokens long, root binary, entries binary, _row long, part int, local_start long, kind string"
 ENTRY = np.dtype([("digest", f"V{DIGEST}"), ("n", "<u4")])
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is printable, else the next from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
-    """The tokenizers library, asked for each distinct pre-token once; pre-tokens are encoded on their own anyway."""
+    """The tokenizers library's model, asked for each distinct pre-token once: it encodes pre-tokens on their own anyway."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        library = Tokenizer.from_file(path)
+        self.model = library.model  # special tokens' strings in a text are ordinary text to it
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.width = np.dtype("<u2" if max(self.library.get_vocab_size(), END_ID + 1) <= 1 << 16 else "<u4")
+        self.width = np.dtype("<u2" if max(library.get_vocab_size(), END_ID + 1) <= 1 << 16 else "<u4")
+
+    def learn(self, piece: str) -> bytes:
+        """The piece's ids, from the older half of the memory or from the library."""
+        found = self.older.get(piece)
+        if found is None:
+            written = piece.encode().decode("latin-1").translate(self.letters)
+            found = np.array([t.id for t in self.model.tokenize(written)], self.width).tobytes()
+        self.known[piece] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED // 2:
             self.older, self.known = self.known, {}
-        known, older, width = self.known, self.older, self.width
-        split = [pretokens(x) for x in texts]
-        fresh = set().union(*split) - known.keys()
-        known.update((x, older[x]) for x in fresh if x in older)
-        new = [x for x in fresh if x not in older]
-        for piece, done in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = np.array(done.ids, width).tobytes()
-        end = np.array([END_ID], width).tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, x), end]), width) for x in split]
+        out, end = [], np.array([END_ID], self.width).tobytes()
+        for text in texts:
+            pieces = pretokens(text)
+            found = list(map(self.known.get, pieces))
+            if None in found:
+                found = [self.learn(p) if f is None else f for p, f in zip(pieces, found, strict=True)]
+            found.append(end)
+            out.append(np.frombuffer(b"".join(found), self.width))
+        return out
 
 
 @cache
