@@ -43,11 +43,13 @@ BLOCKS_A_RANGE = 4
 SLICE_BYTES = 1 << 20
 #: Text bytes of a shard: places must fit in 21 bits.
 SHARD_BYTES = 1 << 20
+#: Text bytes of the runs that a range works through at once.
+PASS_BYTES = 16 << 20
 #: Strings of a run that are sent together at most.
 MOST_RUN = 256
 #: Bytes by which ranks start, and stretches of text in which common prefixes are found side by side.
-FIRST = 5
-LANES = 2048
+FIRST = 4
+LANES = 32768
 
 
 # --- anchors
@@ -251,23 +253,24 @@ def distinct_runs(block: Block, runs: np.ndarray, ranges: int) -> tuple[np.ndarr
 # --- suffix arrays
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Places of ``data`` in the order of the ``depth`` bytes or more that follow each; what is past the end is least.
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """Places of ``data`` in the order of their suffixes; what is past the end is least.
 
     Larsson and Sadakane's refinement: a place's rank is where its group of
     equals starts; doubling compares the rank ``h`` places on; only groups of
     several are sorted again.  Rank, next rank and place share one 63-bit key.
     """
     n = len(data)
-    if n >= 1 << 21:
+    if n >= (1 << 21) - 1:
         raise ValueError("a shard has fewer than 2**21 bytes")
     place = np.uint64(21)
     low = np.uint64((1 << 21) - 1)
     wide = np.zeros(n + FIRST, np.uint64)
     wide[:n] = data
+    wide[:n] += np.uint64(1)  # 0 is past the end
     key = wide[:n].copy()
     for k in range(1, FIRST):
-        key = key << np.uint64(8) | wide[k : n + k]
+        key = key << np.uint64(9) | wide[k : n + k]
     key = np.sort(key << place | np.arange(n, dtype=np.uint64))
     order = (key & low).astype(np.int64)
     start = np.ones(n, bool)
@@ -278,7 +281,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     rank[order] = slot_rank + 1  # 0 is past the end
     h = FIRST
     slots = np.flatnonzero(~(start & np.append(start[1:], True)))
-    while h < depth and len(slots):
+    while len(slots):
         at = order[slots]
         key = np.sort(rank[at].astype(np.uint64) << np.uint64(42) | rank[np.minimum(at + h, n)].astype(np.uint64) << place | at.astype(np.uint64))
         at = (key & low).astype(np.int64)
@@ -307,7 +310,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lanes: int =
         words |= padded[k : k + len(words)].astype(np.uint64) << np.uint64(8 * k)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    lanes = max(1, min(lanes, n // 64))
+    lanes = max(1, min(lanes, n // 32))
     stretch = -(-n // lanes)
     base = np.arange(lanes) * stretch
     shared = np.zeros(n, np.int64)
@@ -341,7 +344,7 @@ class Shard:
         run = np.repeat(np.arange(len(texts)), self.sizes)
         ends = np.cumsum(self.sizes)
         valid = np.arange(len(self.data)) + LENGTH <= ends[run]
-        order = suffix_array(self.data, LENGTH)
+        order = suffix_array(self.data)  # in full, as Kasai's rule needs it
         shared = common_prefixes(self.data, order, LENGTH)
         group = np.cumsum(shared < LENGTH)
         kept = valid[order]
@@ -396,18 +399,25 @@ def merge_shards(shards: list[Shard]) -> None:
         shards[j].lows[at] = np.minimum(shards[j].lows[at], shards[i].lows[mine])
 
 
-def least_ids(texts: list[bytes], tags: np.ndarray, lows: np.ndarray, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """For each distinct run, the least id of the string that starts at each of its bytes."""
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each pair of start and count."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+
+
+def least_ids(texts: list[bytes], tags: np.ndarray, lows: np.ndarray, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
+    """For each byte of the distinct runs, side by side, the least id of the string that starts there."""
     order = np.argsort(tags, kind="stable")
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-    sizes = np.array([len(x) for x in texts], np.int64)[order]
+    all_sizes = np.array([len(x) for x in texts], np.int64)
+    begins = np.cumsum(all_sizes) - all_sizes
+    out = np.zeros(all_sizes.sum(), np.int64)
+    sizes = all_sizes[order]
     # cut where the anchor changes, if it can be; shards of one anchor are merged
     groups: list[list[list[int]]] = []
     shard: list[int] = []
-    held = at = 0
-    changes = np.flatnonzero(np.diff(tags[order], prepend=-1)).tolist() + [len(order)]
-    for a, b in zip(changes, changes[1:], strict=False):
-        total = int(sizes[a:b].sum())
+    held = 0
+    changes = [*np.flatnonzero(np.diff(tags[order], prepend=-1)).tolist(), len(order)]
+    totals = np.add.reduceat(sizes, changes[:-1]).tolist() if len(order) else []
+    for a, b, total in zip(changes, changes[1:], totals, strict=False):
         if held + total > shard_bytes and shard:
             groups.append([shard])
             shard, held = [], 0
@@ -416,52 +426,68 @@ def least_ids(texts: list[bytes], tags: np.ndarray, lows: np.ndarray, shard_byte
         else:
             shard += order[a:b].tolist()
             held += total
-        at = b
-    del at
     if shard:
         groups.append([shard])
     for group in groups:
         shards = [Shard([texts[i] for i in members], lows[members]) for members in group]
         merge_shards(shards)
         for members, own in zip(group, shards, strict=True):
-            for i, part in zip(members, np.split(own.least(), np.cumsum(own.sizes)[:-1]), strict=True):
-                out[i] = part
+            out[spread(begins[members], own.sizes)] = own.least()
     return out
 
 
-def answer_runs(blobs: list[bytes], shard_bytes: int = SHARD_BYTES) -> list[bytes]:
-    """For each blob of distinct_runs: stretches (run, offset, strings, least id) whose least id is below the run's greatest."""
-    known: dict[bytes, int] = {}
-    tags, lows, of, highs = [], [], [], []
-    for blob in blobs:
-        data, counts, tag, low, high = _unpack(blob, "u1", "<u2", "<u4", "i8", "i8")
-        ends = np.cumsum(counts.astype(np.int64) + LENGTH - 1).tolist()
-        raw, start, mine = data.tobytes(), 0, []
-        for i, end in enumerate(ends):
-            text = raw[start:end]
-            number = known.setdefault(text, len(known))
-            if number == len(tags):
-                tags.append(int(tag[i]))
-                lows.append(int(low[i]))
-            elif low[i] < lows[number]:
-                lows[number] = int(low[i])
-            mine.append(number)
-            start = end
-        of.append(mine)
-        highs.append(high)
-    least = least_ids(list(known), np.array(tags, np.int64), np.array(lows, np.int64), shard_bytes)
-    stretches = []
-    for own in least:
-        own = own[: len(own) - LENGTH + 1]
-        first = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
-        stretches.append((first, np.diff(np.append(first, len(own))), own[first]))
+def answer_runs(blobs: list[bytes], shard_bytes: int = SHARD_BYTES, pass_bytes: int = PASS_BYTES) -> list[bytes]:
+    """For each blob of distinct_runs: stretches (run, offset, strings, least id) whose least id is below the run's greatest.
+
+    Runs are worked through in passes by anchor, so that one pass's runs are held at a time.
+    """
+    passes = max(1, -(-sum(zstandard.get_frame_parameters(x).content_size for x in blobs) // pass_bytes))
+    parts: list[list[tuple[np.ndarray, ...]]] = [[] for _ in blobs]
+    for turn in range(passes):
+        known: dict[bytes, int] = {}
+        tags, lows, of = [], [], []
+        for blob in blobs:
+            data, counts, tag, low, high = _unpack(blob, "u1", "<u2", "<u4", "i8", "i8")
+            sizes = counts.astype(np.int64) + LENGTH - 1
+            ends = np.cumsum(sizes)
+            chosen = np.flatnonzero(tag % passes == turn)
+            raw, mine = data.tobytes(), []
+            for start, end, t, least in zip((ends - sizes)[chosen].tolist(), ends[chosen].tolist(), tag[chosen].tolist(), low[chosen].tolist(), strict=True):
+                number = known.setdefault(raw[start:end], len(tags))
+                if number == len(tags):
+                    tags.append(t)
+                    lows.append(least)
+                elif least < lows[number]:
+                    lows[number] = least
+                mine.append(number)
+            of.append((chosen, np.array(mine, np.int64), high[chosen]))
+        if not tags:
+            continue
+        texts = list(known)
+        least = least_ids(texts, np.array(tags, np.int64), np.array(lows, np.int64), shard_bytes)
+        sizes = np.array([len(x) for x in texts], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        strings = sizes - LENGTH + 1
+        least = least[spread(begins, strings)]
+        run = np.repeat(np.arange(len(texts)), strings)
+        change = np.ones(len(least), bool)
+        change[1:] = (least[1:] != least[:-1]) | (run[1:] != run[:-1])
+        first = np.flatnonzero(change)
+        lengths = np.diff(np.append(first, len(least)))
+        run, least = run[first], least[first]
+        offsets = first - (np.cumsum(strings) - strings)[run]
+        cuts = np.searchsorted(run, np.arange(len(texts) + 1))
+        for place, (chosen, mine, high) in enumerate(of):
+            n = cuts[mine + 1] - cuts[mine]
+            at = spread(cuts[mine], n)
+            keep = least[at] < np.repeat(high, n)
+            at = at[keep]
+            parts[place].append((np.repeat(chosen, n)[keep], offsets[at], lengths[at], least[at]))
     out = []
-    for mine, high in zip(of, highs, strict=True):
-        parts = [stretches[i] for i in mine]
-        run = np.repeat(np.arange(len(mine)), [len(p[0]) for p in parts])
-        offset, count, low = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        keep = low < high[run]
-        out.append(_pack(run[keep].astype("<u4"), offset[keep].astype("<u4"), count[keep].astype("<u4"), low[keep]))
+    for own in parts:
+        run, offset, count, low = (np.concatenate([x[k] for x in own]) if own else np.zeros(0, np.int64) for k in range(4))
+        order = np.argsort(run, kind="stable")
+        out.append(_pack(run[order].astype("<u4"), offset[order].astype("<u4"), count[order].astype("<u4"), low[order]))
     return out
 
 
@@ -480,7 +506,7 @@ def remove(block: Block, runs: np.ndarray, numbers: np.ndarray, answers: dict[in
         first, last = np.searchsorted(run, numbers[mine]), np.searchsorted(run, numbers[mine], side="right")
         n = last - first
         own = np.repeat(mine, n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        at = spread(first, n)
         goes = low[at] < block.doc_ids[block.docs[runs[own]]]
         own, at = own[goes], at[goes]
         start = block.starts[runs[own]] + offset[at]
