@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -67,14 +68,15 @@ class Encoder:
         self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.width = np.dtype("<u2" if max(library.get_vocab_size(), END_ID + 1) <= 1 << 16 else "<u4")
+        self.code = "H" if max(library.get_vocab_size(), END_ID + 1) <= 1 << 16 else "I"
+        self.width = np.dtype(f"<u{array(self.code).itemsize}")
 
     def learn(self, piece: str) -> bytes:
         """The piece's ids, from the older half of the memory or from the library."""
         found = self.older.get(piece)
         if found is None:
             written = piece.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(written)], self.width).tobytes()
+            found = array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
         self.known[piece] = found
         return found
 
@@ -126,12 +128,13 @@ def digest(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=DIGEST).digest()
 
 
-def merkle(leaves: list[bytes]) -> bytes:
-    """Root over digests; an odd one moves up as it is; of none, the digest of nothing."""
-    level = leaves or [digest(b"")]
-    while len(level) > 1:
-        level = [digest(b"\1" + level[i] + level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+def merkle(leaves: bytes) -> bytes:
+    """Root over digests side by side; an odd one moves up as it is; of none, the digest of nothing."""
+    level = leaves or digest(b"")
+    while len(level) > DIGEST:
+        pairs = [level[i : i + 2 * DIGEST] for i in range(0, len(level), 2 * DIGEST)]
+        level = b"".join([digest(b"\1" + x) if len(x) > DIGEST else x for x in pairs])
+    return level
 
 
 @cache
@@ -188,11 +191,12 @@ def _stage(df: DataFrame, id_col: str, text_col: str, path: str | None) -> DataF
                             counts.append(stop - at)
                             payloads.append(payload)
                         at = stop
+                    joined = b"".join(leaves)
                     entries = np.empty(len(leaves), ENTRY)
-                    entries["digest"] = np.frombuffer(b"".join(leaves), f"V{DIGEST}")
+                    entries["digest"] = np.frombuffer(joined, f"V{DIGEST}")
                     entries["n"] = np.diff(ends, prepend=0)
                     rows.append(start + i)
-                    recipes.append((merkle(leaves), len(ids), entries.tobytes()))
+                    recipes.append((merkle(joined), len(ids), entries.tobytes()))
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -228,7 +232,7 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
     staged = _stage(df, id_col, text_col, path)
     # chunks meet by digest; recipes by row, so that neither a common chunk nor a common text gathers rows
     dealt = staged.repartition(F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64("_row")))
-    dealt.mapInArrow(_first_of_each, staged.schema).write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/staged")
+    dealt.mapInArrow(_first_of_each, staged.schema).write.options(compression="zstd", **{"parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"}).partitionBy("kind").parquet(f"{folder}/staged")
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Recipes with their places, then a manifest: root over the file's document roots, row count in _row."""
@@ -243,7 +247,7 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
             names, id_type = batch.schema.names, batch.schema.field(0).type
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(counts), part, np.int32)), pa.array(begin), pa.array(["recipe"] * len(counts))], names=[*names, "part", "local_start", "kind"])
         if names:
-            row = [pa.nulls(1, id_type), pa.array([at], pa.int64()), pa.array([merkle(roots)], pa.binary()), pa.nulls(1, pa.binary()), pa.array([len(roots)], pa.int64()), pa.array([part], pa.int32()), pa.array([0], pa.int64()), pa.array(["manifest"])]
+            row = [pa.nulls(1, id_type), pa.array([at], pa.int64()), pa.array([merkle(b"".join(roots))], pa.binary()), pa.nulls(1, pa.binary()), pa.array([len(roots)], pa.int64()), pa.array([part], pa.int32()), pa.array([0], pa.int64()), pa.array(["manifest"])]
             yield pa.RecordBatch.from_arrays(row, names=[*names, "part", "local_start", "kind"])
 
     recipes = spark.read.schema(staged.schema).parquet(f"{folder}/staged").filter("kind = 'recipe'").select(F.col("_id").alias("id"), F.col("n").alias("n_tokens"), F.col("key").alias("root"), F.col("payload").alias("entries"), "_row")
@@ -256,7 +260,7 @@ def check_manifests(recipes: DataFrame, manifests: DataFrame) -> list:
 
     def root_of(group: pa.Table) -> pa.Table:
         group = group.sort_by([("local_start", "ascending"), ("_row", "ascending")])
-        return pa.table({"part": group.column("part").slice(0, 1), "found": pa.array([merkle(group.column("root").to_pylist())], pa.binary()), "rows": pa.array([group.num_rows], pa.int64())})
+        return pa.table({"part": group.column("part").slice(0, 1), "found": pa.array([merkle(b"".join(group.column("root").to_pylist()))], pa.binary()), "rows": pa.array([group.num_rows], pa.int64())})
 
     found = recipes.select("part", "local_start", "_row", "root").groupBy("part").applyInArrow(root_of, "part int, found binary, rows long")
     rows = manifests.join(found, "part", "left").orderBy("part").collect()  # a row a file
@@ -276,29 +280,34 @@ def read(spark: SparkSession, folder: str, id_type: str = "bigint", id_col: str
     def check_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, payloads = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            crcs = []
+            crcs, ends = [], []
+            wide = memoryview(np.frombuffer(b"".join(payloads), width).astype("<u4").tobytes())
+            start = 0
             for key, payload in zip(keys, payloads, strict=True):
                 if digest(payload) != key:
                     raise ValueError(f"chunk {key.hex()} does not hold what its digest says")
-                crcs.append(zlib.crc32(np.frombuffer(payload, width).astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), pa.array([len(x) // width.itemsize for x in payloads], pa.int64())], names=["key", "crc", "n_held"])
+                end = start + len(payload) * 4 // width.itemsize
+                crcs.append(zlib.crc32(wide[start:end]))
+                ends.append(end)
+                start = end
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), pa.array(np.diff(ends, prepend=0) // 4, pa.int64())], names=["key", "crc", "n_held"])
 
     def open_recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            entries = batch.column(2).to_pylist()
+            numbers, roots, entries = (c.to_pylist() for c in batch.columns)
             for at in range(0, len(entries), 2000):
                 keys, after, rows, held = [], [], [], []
                 for i in range(at, min(at + 2000, len(entries))):
                     own = np.frombuffer(entries[i], ENTRY)
-                    leaves = [bytes(x) for x in own["digest"]]
-                    if merkle(leaves) != batch.column(1)[i].as_py():
+                    leaves = np.ascontiguousarray(own["digest"]).tobytes()
+                    if merkle(leaves) != roots[i]:
                         raise ValueError("a recipe does not hold what its root says")
-                    keys += leaves
+                    keys.append(leaves)
                     held.append(own["n"])
                     n = own["n"].astype(np.int64)
                     after.append(4 * (n.sum() - np.cumsum(n)))
-                    rows.append(np.full(len(n), batch.column(0)[i].as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(keys, pa.binary()), pa.array(np.concatenate(after)), pa.array(np.concatenate(held).astype(np.int64))], names=["_row", "key", "after", "n"])
+                    rows.append(np.full(len(n), numbers[i]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(DIGEST), sum(map(len, rows)), [None, pa.py_buffer(b"".join(keys))]).cast(pa.binary()), pa.array(np.concatenate(after)), pa.array(np.concatenate(held).astype(np.int64))], names=["_row", "key", "after", "n"])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
