@@ -8,6 +8,11 @@ scale factors, up to 1, and calibrated so that the expected tokens are
 KEEP_SHARE of all.  A document is kept if a hash of its id, as a number from 0
 to 1, is below its cell's probability.
 
+A probability cannot pass 1, so a cell with too few tokens falls short of its
+target and the others take its part.  Copies have no such bound: KEEP_SHARE
+times the factor of each row are expected, the whole part always and one more
+by the hash, and their tokens meet the raked marginals.
+
 Null source, language or topic: ``other``.  Null text: no tokens.  Rows with a
 null id share one hash.  Repeated rows fare alike; an empty table gives an
 empty result.
@@ -80,12 +85,19 @@ def calibrate(cells: dict[tuple, int], factors: dict[tuple, float], share: float
 
 
 def probabilities(rows: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, share: float = KEEP_SHARE) -> DataFrame:
-    """_prob for each cell of ``rows`` (columns of the targets' names, n_tokens); as many rows as the targets allow."""
+    """_prob and _copies, both expected, for each cell of ``rows`` (columns of the targets' names, n_tokens); as many rows as the targets allow."""
     dims = list(targets)
     cells = {tuple(r[d] for d in dims): r["n"] for r in rows.groupBy(*dims).agg(F.sum("n_tokens").alias("n")).orderBy(*dims).collect()}
-    found = calibrate(cells, rake(cells, list(targets.values())), share)
-    schema = ", ".join(f"`{d}` string" for d in dims) + ", _prob double"
-    return rows.sparkSession.createDataFrame([(*c, p) for c, p in found.items()], schema)
+    factors = rake(cells, list(targets.values()))
+    found = calibrate(cells, factors, share)
+    schema = ", ".join(f"`{d}` string" for d in dims) + ", _prob double, _copies double"
+    return rows.sparkSession.createDataFrame([(*c, p, share * factors[c] if cells[c] else 1.0) for c, p in found.items()], schema)
+
+
+def copies(id_col: str) -> Column:
+    """Whole copies of a row: the whole part of _copies, and one more if the draw is below the rest."""
+    whole = F.floor("_copies")
+    return whole + (draw(id_col) < F.col("_copies") - whole).cast("long")
 
 
 def celled(df: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> Column:
@@ -95,17 +107,21 @@ def celled(df: DataFrame, text_col: str = "text", source_col: str = "source", la
 
 
 def weigh(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """``id_col``, n_tokens, source, lang and topic as cells, prob, kept of each row."""
+    """``id_col``, n_tokens, source, lang and topic as cells, prob, kept, expected and whole copies of each row."""
     rows = written(df.select(F.col(id_col), celled(df, text_col, source_col, lang_col).alias("_c")).select(id_col, "_c.*"), "cells")
-    return rows.join(F.broadcast(probabilities(rows)), list(TARGETS)).withColumn("kept", draw(id_col) < F.col("_prob")).withColumnRenamed("_prob", "prob")
+    joined = rows.join(F.broadcast(probabilities(rows)), list(TARGETS)).withColumn("kept", draw(id_col) < F.col("_prob")).withColumn("copies", copies(id_col))
+    return joined.withColumnsRenamed({"_prob": "prob", "_copies": "expected_copies"})
 
 
-def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``df`` that are kept, with their columns."""
+def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", repeat: bool = False) -> DataFrame:
+    """The rows of ``df`` that are kept, with their columns; with ``repeat``, each as often as it has copies, which meets the targets."""
     tagged = df.withColumn("_c", celled(df, text_col, source_col, lang_col))
     probs = probabilities(written(tagged.select("_c.*"), "cells"))
     key = [F.col(f"_c.{d}") == probs[d] for d in TARGETS]
-    return tagged.join(F.broadcast(probs), key).filter(draw(id_col) < F.col("_prob")).select(*(df[c] for c in df.columns))
+    joined = tagged.join(F.broadcast(probs), key)
+    if repeat:
+        return joined.withColumn("_n", F.explode(F.sequence(F.lit(0), copies(id_col)))).filter("_n > 0").select(*(df[c] for c in df.columns))
+    return joined.filter(draw(id_col) < F.col("_prob")).select(*(df[c] for c in df.columns))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

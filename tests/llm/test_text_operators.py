@@ -137,6 +137,24 @@ def test_raking_meets_its_targets():
     assert max(probs.values()) <= 1
 
 
+def test_copies_meet_the_targets_where_one_source_is_hot(spark):
+    words = {"table": 20, "short": 30, "medium": 120, "long": 1000}
+    texts = {t: ("a | " if t == "table" else "") + "w " * n for t, n in words.items()}
+    kinds = [(s, t) for s in ("src0", "src0", "src0", "src1") for t in words]
+    df = spark.createDataFrame([(i, texts[t], "en", s) for i, (s, t) in enumerate(kinds * 100)], "doc_id long, text string, lang string, source string")
+    judged = mixing.weigh(df)
+
+    def shares(rows, by, times):
+        return {r[by]: r["share"] for r in rows.groupBy(by).agg((F.sum(F.col("n_tokens") * F.col(times)) / rows.agg(F.sum(F.col("n_tokens") * F.col(times))).first()[0]).alias("share")).collect()}
+
+    assert shares(judged, "source", "expected_copies") == pytest.approx({"src0": 0.5, "src1": 0.5}, abs=1e-3)
+    assert shares(judged, "topic", "expected_copies") == pytest.approx(mixing.TOPIC_TARGET, abs=1e-3)
+    assert shares(judged, "source", "copies") == pytest.approx({"src0": 0.5, "src1": 0.5}, abs=0.04)
+    assert shares(judged, "topic", "copies") == pytest.approx(mixing.TOPIC_TARGET, abs=0.04)
+    times = {r["doc_id"]: r["n"] for r in mixing.sample(df, repeat=True).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert times == {r["doc_id"]: r["copies"] for r in judged.collect() if r["copies"]}
+
+
 # --- tokens
 
 
