@@ -6,9 +6,10 @@ import pytest
 
 from cartoflow.operators import snap
 from cartoflow.plans import routing
-from cartoflow.queries import QUERIES, graph_queries
+from cartoflow.queries import ORACLES, QUERIES, graph_queries
 from cartoflow.sources import fixtures as X
 from cartoflow.sources import readers
+from tests.oracle import agree, connect
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,6 +78,25 @@ def test_hierarchical_routes_take_the_first_level_that_works(spark):
         assert len(r.path) >= 1
 
 
+@pytest.mark.parametrize("name", ["route_paths", "route_segments"])
+def test_every_customer_is_routed(spark, name):
+    size = X.table(spark, SF, "part").count()
+    asked = {r.c_custkey for r in X.table(spark, SF, "customer").collect()}
+    still = {c for c in asked if c * 7919 % size == c * 104_729 % size} if name == "route_segments" else set()
+    assert {r.req_id for r in QUERIES[name](spark, SF).select("req_id").distinct().collect()} == asked - still
+
+
+def test_hierarchical_routes_go_beyond_the_first_customers(spark):
+    found = [r.req_id for r in QUERIES["hierarchical_routes"](spark, SF).select("req_id").collect()]
+    assert len(found) == len(set(found)) and max(found) > 20
+
+
+def test_connectors_of_every_customer(spark):
+    cut = " where point_id < 200"
+    assert cut in ORACLES["hier_connectors"]  # the registered SQL asks for the first 200 alone
+    agree(spark, connect(SF.replace("0.001", "0.01")), QUERIES["hier_connectors"], ORACLES["hier_connectors"].replace(cut, ""), SF.replace("0.001", "0.01"))
+
+
 def test_tiles_survive_writing(spark, tmp_path):
     t = spark.createDataFrame([(x, y, x * y) for x in range(8, 13) for y in range(8, 13)], "tile_x int, tile_y int, v int")
     readers.write_tiles(t, str(tmp_path / "t"))
