@@ -22,8 +22,10 @@ HEX = r"[0-9a-f]{24,}+"
 #: Long unbroken runs of the alphabet that keys are written in.
 OPAQUE = r"[A-Za-z0-9+/_=-]{24,}+"
 KINDS = ("assign", "access", "hex", "opaque")
-#: A credential with this many owners or more is a copied example.
+#: A credential with this many owners or more, in as many distinct texts, is a copied example.
 EXAMPLE_OWNERS = 2
+#: So is one in this many distinct texts, whoever owns them.
+EXAMPLE_REPOS = 100
 #: Distinct characters that a live-looking value has at least.
 DISTINCT_CHARS = 8
 
@@ -52,22 +54,27 @@ def candidates(df: DataFrame, id_col: str, text_col: str, owner_col: str) -> Dat
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """One row per input row: ``id_col``, arrays assign, access, hex, opaque of struct<s,e,h,live>,
-    and live and example, arrays of struct<s,e,k>.
+    and live and example, arrays of struct<s,e,k,owners,repos>.
 
     A candidate's hash is counted over all rows: by owner (``owner_col``) and by
-    repository (a distinct whole text, so exact copies count once).  Live: one
-    owner, and a mix of letters and digits.  Example: EXAMPLE_OWNERS owners or
-    more.  An opaque run counts as a span only if it is live.
+    repository (a distinct whole text, so exact copies count once); live and
+    example spans carry both counts.  Example: EXAMPLE_OWNERS owners or more and
+    as many repositories, or EXAMPLE_REPOS repositories, so copies of one text
+    never make an example.  Live: no example, and a mix of letters and digits.
+    An opaque run counts as a span only if it is live.
     """
     rows = written(candidates(df, id_col, text_col, owner_col), "secrets")
     named = lambda k: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"), x["h"].alias("h"), x["live"].alias("live"))
     each = rows.select("_row", "_repo", "_owner", F.explode(F.concat(*(F.transform(k, named(k)) for k in KINDS))).alias("x")).select("_row", "_repo", "_owner", "x.*")
     # one row a (hash, owner, repository) first, summed up on the map side, so a hash that a third of the rows hold is spread
-    held = each.groupBy("h", "_owner", "_repo").agg(F.lit(1).alias("one")).groupBy("h", "_owner").agg(F.count("*").alias("repos")).groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    judged = each.join(held, "h").withColumn("class", F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when(F.col("live"), "live"))
-    spans = lambda c: F.array_sort(F.collect_list(F.when(F.col("class") == c, F.struct("s", "e", "k"))))
+    held = each.groupBy("h", "_owner", "_repo").agg(F.lit(1).alias("one"))
+    owners = held.groupBy("h", "_owner").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("owners"))
+    repos = held.groupBy("h", "_repo").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("repos"))
+    copied = (F.col("owners") >= EXAMPLE_OWNERS) & (F.col("repos") >= EXAMPLE_OWNERS) | (F.col("repos") >= EXAMPLE_REPOS)
+    judged = each.join(owners.join(repos, "h"), "h").withColumn("class", F.when(copied, "example").when(F.col("live"), "live"))
+    spans = lambda c: F.array_sort(F.collect_list(F.when(F.col("class") == c, F.struct("s", "e", "k", "owners", "repos"))))
     by_row = judged.filter("class is not null").groupBy("_row").agg(spans("live").alias("live"), spans("example").alias("example"))
-    none = F.array().cast("array<struct<s:int,e:int,k:string>>")
+    none = F.array().cast("array<struct<s:int,e:int,k:string,owners:bigint,repos:bigint>>")
     return rows.join(by_row, "_row", "left").select(F.col("_id").alias(id_col), *KINDS, F.coalesce("live", none).alias("live"), F.coalesce("example", none).alias("example"))
 
 
@@ -95,9 +102,10 @@ def redact_rows(df: DataFrame, text_col: str = "text", owner_col: str = "source"
     What is replaced depends on the text alone, so texts meet their spans by hash.
     """
     found = find(df.withColumn("_key", F.md5(text_or_empty(text_col))), "_key", text_col, owner_col)
+    bare = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))
     at = lambda k: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"))
     base = F.concat(*(F.transform(k, at(k)) for k in KINDS[:3]))
-    spans = F.array_union(F.array_except(base, "example"), opaque_spans())
+    spans = F.array_union(F.array_except(base, F.transform("example", bare)), F.transform(opaque_spans(), bare))
     todo = found.select(F.col("_key"), spans.alias("_spans")).filter(F.size("_spans") > 0).groupBy("_key").agg(F.first("_spans").alias("_spans"))
     joined = df.withColumn("_key", F.md5(text_or_empty(text_col))).join(todo, "_key", "left")
     text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("_spans")))

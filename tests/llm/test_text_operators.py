@@ -101,6 +101,18 @@ def test_ownership_separates_examples_from_live_secrets(spark):
     assert clean[4] == "[secret]"
 
 
+def test_copies_of_one_text_make_no_example(spark):
+    leaked, common = "Zx9Kq2Lm8Pw4Rt7Vb3Nc6Yd1", "Aa1Bb2Cc3Dd4Ee5Ff6Gg7Hh8"
+    texts = [(f"see {leaked} here", s) for s in "abc"] + [(f"use {common} as in {i}", None) for i in range(secrets.EXAMPLE_REPOS)]
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.find(df).collect()}
+    assert [(x.owners, x.repos) for x in got[0].live] == [(3, 1)] and not got[0].example
+    assert [(x.owners, x.repos) for x in got[9].example] == [(1, secrets.EXAMPLE_REPOS)] and not got[9].live
+    clean = {r.doc_id: r.text for r in secrets.redact_rows(df).collect()}
+    assert [clean[i] for i in range(3)] == ["see [secret] here"] * 3
+    assert clean[9] == texts[9][0]
+
+
 def repeat_words(words):
     n = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
     return len({i + k for i in range(len(words) - 2) if n[tuple(words[i : i + 3])] > 1 for k in range(3)})
