@@ -14,7 +14,7 @@ from ..functions import classify, geo
 from ..operators.snap import snap_nearest
 from .storage import written
 
-#: Edges of a graph that is sent to every task; a larger one is cut to a corridor for each request.
+#: Edges of a graph that is sent to every task; a larger one is cut to a corridor for each request first.
 BROADCAST_EDGES = 2_000_000
 #: Degrees by which a request's corridor is wider than the box of its ends.
 CORRIDOR_DEG = 0.05
@@ -89,7 +89,8 @@ def point_to_point(requests: DataFrame, edges: DataFrame, nodes: DataFrame, max_
 
     Requests are searched in parallel, one at a time in a task.  A graph of up to
     ``broadcast_edges`` edges (counted first) goes to every task; of a larger one
-    each request gets the edges in the box of its ends, widened by CORRIDOR_DEG.
+    each request gets the edges in the box of its ends, widened by CORRIDOR_DEG;
+    where a path that leaves the box may cost less, the whole graph is relaxed.
     """
     best = cheapest_edges(edges).select("src", "dst", "weight_cs")
     if best.count() <= broadcast_edges:
@@ -103,19 +104,89 @@ def point_to_point(requests: DataFrame, edges: DataFrame, nodes: DataFrame, max_
 
     at = nodes.select("node_id", "lat", "lon")
     end = lambda p: at.select(F.col("node_id").alias(p), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"))
+    asked = requests.select("req_id", "src", "dst").join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    placed = written(best.join(end("src"), "src", "left").join(end("dst"), "dst", "left"), "placed")
+    tried = written(_in_corridors(asked, placed, _pace(placed), max_nodes), "corridors")
+    late = tried.filter("not proven")
+    done = tried.filter("proven").drop("proven")
+    return done.unionByName(relaxed(late.select("req_id", "src", "dst", "cost_cs"), placed)) if late.head(1) else done
+
+
+def _pace(placed: DataFrame) -> float:
+    """Least weight of a metre, a little less for rounding; 0 where an edge has no place, as nothing can be said then."""
+    meters = geo.haversine("src_lat", "src_lon", "dst_lat", "dst_lon")
+    found = placed.select("weight_cs", meters.alias("m")).agg(F.min(F.when(F.col("m") > 0, F.col("weight_cs") / F.col("m"))).alias("least"), F.count(F.when(F.col("m").isNull(), 1)).alias("lost")).first()
+    return 0.0 if found["lost"] or found["least"] is None else max(0.0, found["least"]) * (1 - 1e-6)
+
+
+def _in_corridors(asked: DataFrame, placed: DataFrame, pace: float, max_nodes: int) -> DataFrame:
+    """ROUTE and proven, of each request within its corridor.
+
+    Proven: no path that leaves the corridor can cost less.  Each edge out of it
+    costs, besides its weight, at least ``pace`` for every metre that is left to
+    the request's end.
+    """
     size = C.TILE_SIZE_DEG[C.ARTERIAL]
     cell = lambda c: F.floor(F.col(c) / size)
     low = lambda a, b: F.floor((F.least(a, b) - CORRIDOR_DEG) / size)
     high = lambda a, b: F.floor((F.greatest(a, b) + CORRIDOR_DEG) / size)
-    asked = requests.join(end("src"), "src").join(end("dst"), "dst")
-    cells = asked.select("req_id", F.explode(F.sequence(low("src_lon", "dst_lon"), high("src_lon", "dst_lon"))).alias("cx"), F.sequence(low("src_lat", "dst_lat"), high("src_lat", "dst_lat")).alias("ys")).select("req_id", "cx", F.explode("ys").alias("cy"))
-    placed = best.join(end("src"), "src").select("src", "dst", "weight_cs", cell("src_lon").alias("cx"), cell("src_lat").alias("cy"))
-    corridor = cells.join(placed, ["cx", "cy"]).select("req_id", "src", "dst", "weight_cs")
-
-    def search(asked: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        return _solve(_adjacency(near), asked, max_nodes)
-
-    return requests.select("req_id", "src", "dst").groupBy("req_id").cogroup(corridor.groupBy("req_id")).applyInPandas(search, ROUTE)
+    boxes = asked.filter("src_lat is not null and src_lon is not null and dst_lat is not null and dst_lon is not null").select("req_id", low("src_lon", "dst_lon").alias("x0"), high("src_lon", "dst_lon").alias("x1"), low("src_lat", "dst_lat").alias("y0"), high("src_lat", "dst_lat").alias("y1"), F.col("dst_lat").alias("to_lat"), F.col("dst_lon").alias("to_lon"))
+    cells = boxes.withColumn("cx", F.explode(F.sequence("x0", "x1"))).withColumn("cy", F.explode(F.sequence("y0", "y1")))
+    within = F.coalesce(cell("dst_lon").between(F.col("x0"), F.col("x1")) & cell("dst_lat").between(F.col("y0"), F.col("y1")), F.lit(False))
+    rest = F.coalesce(F.floor(geo.haversine("dst_lat", "dst_lon", "to_lat", "to_lon") * pace), F.lit(0))
+    corridor = cells.join(placed.withColumn("cx", cell("src_lon")).withColumn("cy", cell("src_lat")), ["cx", "cy"]).select(F.col("req_id").alias("_req"), "src", "dst", "weight_cs", F.when(within, -1).otherwise(rest).cast("long").alias("rest"))
+    known = asked.select("req_id", "src", "dst", F.expr("src_lat is not null and src_lon is not null and dst_lat is not null and dst_lon is not null").alias("known"))
+
+    def search(rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        adjacency, out = _adjacency(near), float("inf")  # out: beyond the rim
+        done = _solve(adjacency, rows, max_nodes)
+        for v, w in dict(zip(near["dst"].tolist(), near["rest"].tolist(), strict=True)).items():
+            if w >= 0:
+                adjacency.setdefault(v, []).append((out, w))
+        proven = []
+        for r, cost, explored in zip(rows.itertuples(), done["cost_cs"].tolist(), done["explored"].tolist(), strict=True):
+            around = shortest(adjacency, r.src, out, 1 << 62)[1]
+            over = pd.isna(cost) and explored >= max_nodes  # the whole graph has as many nodes to settle
+            proven.append(bool(over or (r.known and (around is None or (not pd.isna(cost) and cost <= around)))))
+        return done.assign(proven=proven)
+
+    return known.groupBy("req_id").cogroup(corridor.groupBy("_req")).applyInPandas(search, f"{ROUTE}, proven boolean")
+
+
+def relaxed(requests: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """ROUTE of requests (req_id, src, dst, cost_cs of a path known or null) on the whole graph, by frontier relaxation of all requests at once.
+
+    Nodes that cost more than the known path are left out.  explored counts the
+    nodes reached; max_nodes bounds searches in a task and does not hold here.
+    """
+    asked = written(requests.select("req_id", "src", "dst", F.col("cost_cs").alias("known")), "asked")
+    steps = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("to"), "weight_cs")
+    best = written(asked.select("req_id", F.col("src").alias("node_id"), F.lit(0).cast("long").alias("cost"), F.lit(None).cast("long").alias("parent")), "reached")
+    frontier = best
+    bound = asked.select("req_id", "known")
+    for _ in range(max_rounds):
+        offers = frontier.join(steps, "node_id").join(bound, "req_id").withColumn("offer", F.col("cost") + F.col("weight_cs")).filter("known is null or offer <= known")
+        offers = offers.groupBy("req_id", F.col("to").alias("node_id")).agg(F.min(F.struct("offer", F.col("node_id").alias("via"))).alias("o"))
+        fresh = F.col("o").isNotNull() & (F.col("cost").isNull() | (F.col("o.offer") < F.col("cost")))
+        pick = lambda new, old: F.when(F.col("fresh"), F.col(new)).otherwise(F.col(old)).alias(old)
+        merged = written(best.join(offers, ["req_id", "node_id"], "full_outer").withColumn("fresh", fresh).select("req_id", "node_id", pick("o.offer", "cost"), pick("o.via", "parent"), "fresh"), "reached")
+        best, frontier = merged.drop("fresh"), merged.filter("fresh").drop("fresh")
+        if not frontier.head(1):
+            break
+    else:
+        raise RuntimeError(f"costs still fall after {max_rounds} rounds")
+
+    def trace(rows: pd.DataFrame, reached: pd.DataFrame) -> pd.DataFrame:
+        r = next(rows.itertuples())
+        cost = dict(zip(reached["node_id"].tolist(), reached["cost"].tolist(), strict=True))
+        parent = dict(zip(reached["node_id"].tolist(), reached["parent"].astype("Int64").tolist(), strict=True))
+        path = [r.dst] if r.dst in cost else []
+        while path and path[-1] != r.src:
+            path.append(parent[path[-1]])
+        done = pd.DataFrame([(r.req_id, r.src, r.dst, path[::-1], cost.get(r.dst), len(cost))], columns=["req_id", "src", "dst", "path", "cost_cs", "explored"])
+        return done.astype({"cost_cs": "Int64"})
+
+    return asked.groupBy("req_id").cogroup(best.groupBy("req_id")).applyInPandas(trace, ROUTE)
 
 
 def path_steps(routes: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import heapq
 
 import pytest
+from pyspark.sql import functions as F
 
 from cartoflow.operators import snap
 from cartoflow.plans import routing
@@ -50,6 +51,25 @@ def test_grid_route(spark, grid3, broadcast):
     assert 4 not in found or found[4].cost_cs is None
 
 
+def test_large_graphs_leave_the_corridor_where_that_is_cheaper(spark):
+    places = {0: (47.0, 8.0), 1: (47.0, 8.01), 2: (47.0, 8.02), 3: (47.9, 8.0), 4: (47.9, 8.02), 5: (47.001, 8.0), 6: (46.0, 8.0), 7: (46.0, 9.0), 8: (46.0, 8.01)}
+    nodes = spark.createDataFrame([(k, *v) for k, v in places.items()], "node_id long, lat double, lon double")
+    links = [(0, 1, 900_000), (1, 2, 900_000), (0, 3, 300_000), (3, 4, 10_000), (4, 2, 300_000), (0, 5, 100), (6, 7, 200_000), (7, 8, 200_000), (1, 0, 900_000), (2, 5, 2_000_000)]
+    edges = spark.createDataFrame([(a, b, 1, w) for a, b, w in links], "src long, dst long, distance_cm long, weight_cs long")
+    # around a slow street, a close end that is proven at once, a way that only exists outside, no way, an end without a place
+    asked = spark.createDataFrame([(1, 0, 2), (2, 0, 5), (3, 6, 8), (4, 5, 0), (5, 0, 99), (6, 0, 0)], "req_id long, src long, dst long")
+    whole, cut = ({r.req_id: (list(r.path), r.cost_cs) for r in routing.point_to_point(asked, edges, nodes, broadcast_edges=n).collect()} for n in (1_000, 0))
+    assert whole == cut
+    assert cut[1] == ([0, 3, 4, 2], 610_000) and cut[3] == ([6, 7, 8], 400_000) and cut[4] == ([], None)
+
+
+def test_corridors_cost_what_the_whole_graph_does(spark):
+    edges = graph_queries.scatter_edges(spark, SF).withColumn("distance_cm", F.col("weight_cs"))
+    asked = X.route_requests(spark, SF).filter("req_id < 12")
+    whole, cut = ({r.req_id: r.cost_cs for r in routing.point_to_point(asked, edges, X.nodes_scatter(spark, SF), broadcast_edges=n).collect()} for n in (1_000_000, 0))
+    assert whole == cut
+
+
 def test_nearest(spark, grid3):
     nodes, _ = grid3
     hit = snap.snap_nearest(spark.createDataFrame([(1, 47_001_000, 8_001_000)], "point_id long, lat_micro int, lon_micro int"), nodes).first()
