@@ -29,6 +29,8 @@ SAMPLE_ROWS = 4000
 COUNTERS = 6
 MOST_LANGUAGES = 200
 SMOOTHING = 0.5
+#: Standard deviations that a text's mean log likelihood may lie below that of its language.
+MOST_BELOW = 5.0
 #: Characters that are scored at once.
 BATCH_CHARS = 400_000
 _letter = re.compile(r"[^\W\d_]")
@@ -93,10 +95,14 @@ def scores(texts: list[str], table: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``columns`` (``id_col`` alone if None) of each row, then held_out, lang_pred and score, the posterior probability of that language."""
+def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, evidence: bool = False) -> DataFrame:
+    """``columns`` (``id_col`` alone if None) of each row, then held_out, lang_pred and score, the posterior probability of that language.
+
+    With ``evidence`` also n_grams and per_gram, the mean log likelihood of an
+    n-gram in that language, which unlike the score does not grow with length.
+    """
     columns = [id_col] if columns is None else columns
-    added = StructType.fromDDL("held_out boolean, lang_pred string, score double")
+    added = StructType.fromDDL("held_out boolean, lang_pred string, score double" + (", n_grams long, per_gram double" if evidence else ""))
     full = StructType([*(df.schema[c] for c in columns), *added])
     shared = df.sparkSession.sparkContext.broadcast(model)
     n = len(columns)
@@ -112,19 +118,50 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
                 texts = column.slice(start, end - start).to_pylist()
                 known = [i for i, x in enumerate(texts) if langs and x and _letter.search(x)]
                 found, score = ["und"] * len(texts), [0.0] * len(texts)
+                grams, mean = [0] * len(texts), [None] * len(texts)
                 if known:
                     likely = scores([texts[i] for i in known], table)
                     best = likely.argmax(axis=1)
                     sure = 1 / np.exp(likely - likely.max(axis=1, keepdims=True)).sum(axis=1)
                     for i, k, p in zip(known, best, sure, strict=True):
                         found[i], score[i] = langs[k], float(p)
+                    for i, top in zip(known, likely.max(axis=1), strict=True) if evidence else ():
+                        length = len(texts[i].lower())
+                        grams[i] = sum(max(0, length - g + 1) for g in GRAMS)
+                        mean[i] = float(top) / grams[i]
                 passed = [batch.column(i).slice(start, end - start).cast(arrow.field(i).type) for i in range(n + 1)]
-                yield pa.RecordBatch.from_arrays([*passed, pa.array(found, pa.string()), pa.array(score, pa.float64())], schema=arrow)
+                more = [pa.array(grams, pa.int64()), pa.array(mean, pa.float64())] if evidence else []
+                yield pa.RecordBatch.from_arrays([*passed, pa.array(found, pa.string()), pa.array(score, pa.float64()), *more], schema=arrow)
 
     given = [F.col(c).alias(f"_{i}") for i, c in enumerate(columns)]
     return df.select(*given, F.coalesce(held_out(id_col), F.lit(False)).alias("_held"), F.col(text_col).alias("_text")).mapInArrow(run, full)
 
 
+def evident(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Column:
+    """Whether a row of ``predict(evidence=True)`` is as likely in its language as texts of that language are.
+
+    The bound lies MOST_BELOW standard deviations below the mean of held-out
+    labelled rows, about SAMPLE_ROWS a language; short texts, whose means vary
+    more, get the variance of their n-grams besides.  Without such rows, true.
+    """
+    langs, table = model
+    rows = df.filter(held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, F.col(lang_col).cast("string").alias("_lang"))
+    totals = {r["_lang"]: r["n"] for r in rows.filter(F.col("_lang").isin(langs)).groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    bound = F.lit(True)
+    if not totals:
+        return bound
+    shares = F.create_map(*(x for lang, n in totals.items() for x in (F.lit(lang), F.lit(min(1.0, SAMPLE_ROWS / n)))))
+    some = rows.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < F.element_at(shares, F.col("_lang")) * (1 << 20))
+    judged = predict(some, model, id_col, text_col, [id_col, "_lang"], evidence=True).filter("lang_pred = _lang")
+    chance = np.exp(table)
+    spread = (chance * table**2).sum(axis=0) - (chance * table).sum(axis=0) ** 2
+    for r in judged.groupBy("_lang").agg(F.avg("per_gram").alias("mean"), F.var_pop("per_gram").alias("var")).orderBy("_lang").collect():
+        # n-grams of all lengths start at each character, so so many fewer are independent
+        own = F.lit(r["var"]) + len(GRAMS) * float(spread[langs.index(r["_lang"])]) / F.greatest(F.col("n_grams"), F.lit(1))
+        bound = F.when(F.col("lang_pred") == r["_lang"], F.col("per_gram") >= F.lit(r["mean"]) - MOST_BELOW * F.sqrt(own)).otherwise(bound)
+    return bound
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return predict(docs, fit(docs))

@@ -299,6 +299,16 @@ def test_language_without_letters_or_labels(spark):
     assert {r.lang_pred for r in langid.predict(none, langid.fit(none)).collect()} == {"und"}
 
 
+def test_language_stage_rejects_what_was_not_learnt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(5)
+    odd = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(60)), "".join(rng.choice("bcdfghjk0123456789#$%&") for _ in range(60)), "日本語の文章はここにありますが学習された言語ではありません", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności", "Tämä on suomenkielinen lause jota malli ei ole koskaan nähnyt ja joka on tarpeeksi pitkä"]
+    more = spark.createDataFrame([(-1 - i, t, None, "src0", len(t)) for i, t in enumerate(odd)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(more), "").select("doc_id").collect()}
+    assert not [i for i in range(len(odd)) if -1 - i in kept]
+    assert len(kept) >= 0.99 * docs.count()
+
+
 # --- every operator on edge cases and on nothing
 
 
