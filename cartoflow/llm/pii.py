@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, text_or_empty
-from .spans import digest, let, matches
+from .spans import EMPTY, digest, let, matches
 
 #: Java patterns that find what the base patterns find: a run is entered at its first character only, and quantifiers are possessive where nothing after them could use a shorter run.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -20,6 +20,10 @@ CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Account numbers in groups of four or in one piece.
 IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"
+#: Characters of an account number by country, and a whole run that may hold such numbers next to other words and codes.
+IBAN_LENGTHS = "NO15 BE16 DK18 FI18 FK18 FO18 GL18 NL18 SD18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 MN20 XK20 CH21 HR21 LI21 LV21 BG22 BH22 CR22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 AE23 GI23 IL23 IQ23 OM23 SO23 TL23 AD24 CZ24 ES24 MD24 PK24 RO24 SA24 SE24 SK24 TN24 VG24 LY25 PT25 ST25 IS26 TR26 BI27 DJ27 FR27 GR27 IT27 MC27 MR27 SM27 AL28 AZ28 BY28 CY28 DO28 GT28 HN28 HU28 LB28 NI28 PL28 SV28 BR29 EG29 PS29 QA29 UA29 JO30 KW30 MU30 YE30 MT31 SC31 LC32 RU33"
+IBAN_RUN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,}+"
+IBAN_HEAD = "[A-Z]{2}[0-9]{2}"
 #: Nine digits in the groups of a social security number.
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 
@@ -61,6 +65,42 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.split(plain, ""), F.lit(0), lambda acc, c: F.when(c == "", acc).otherwise(step(acc, c))) == 1
 
 
+def national() -> str:
+    """Pattern of an account number of its country's length."""
+    by_length: dict[int, list[str]] = {}
+    for x in IBAN_LENGTHS.split():
+        by_length.setdefault(int(x[2:]), []).append(x[:2])
+    return "^(?:" + "|".join(rf"(?:{'|'.join(c)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in by_length.items()) + ")"
+
+
+def valid_account(x: Column) -> Column:
+    return let(F.regexp_replace(x["m"], " ", ""), lambda a: F.length(a).between(15, 34) & mod97(a))
+
+
+def accounts(text: Column) -> Column:
+    """Account numbers: words of their country's length first, wherever they start in a run; then what the pattern proposes as a whole."""
+    none = F.array().cast(EMPTY)
+
+    def within(run: Column) -> Column:
+        heads = F.split(run["m"], f"(?={IBAN_HEAD})")
+        begin = F.struct(run["s"].alias("at"), none.alias("out"))
+
+        def step(acc: Column, piece: Column) -> Column:
+            s = acc["at"]
+            found = F.regexp_extract(F.substring(run["m"], s - run["s"] + 1, 80), national(), 0)
+            return F.struct((s + F.length(piece)).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), (s + F.length(found)).alias("e"), found.alias("m")))).alias("out"))
+
+        return F.aggregate(heads, begin, step)["out"]
+
+    is_word = lambda at: F.rlike(F.substring(text, at, 1), F.lit("[A-Za-z0-9]"))
+    edged = lambda x: (x["s"] < x["e"]) & ~((x["s"] > 0) & is_word(x["s"])) & ~is_word(x["e"] + 1)
+    proposed = F.filter(F.flatten(F.transform(matches(text, IBAN_RUN), within)), lambda x: edged(x) & valid_account(x))
+    first = F.aggregate(proposed, none, lambda acc, x: F.when(F.exists(acc, lambda y: x["s"] < y["e"]), acc).otherwise(F.concat(acc, F.array(x))))
+    whole = F.filter(matches(text, IBAN), valid_account)
+    both = let(first, lambda f: F.array_sort(F.concat(f, F.filter(whole, lambda x: ~F.exists(f, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))))))
+    return F.when(F.rlike(text, F.lit(IBAN_RUN)), both).otherwise(none)
+
+
 def around(text: Column, span: Column) -> Column:
     start = F.greatest(F.lit(0), span["s"] - WINDOW)
     return F.substring(text, start + 1, span["e"] + WINDOW - start)
@@ -91,7 +131,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         "ip": F.filter(matches(text, IP, has(".")), parts_ok),
         "card": F.filter(matches(text, CARD), lambda x: let(digits(x), lambda d: F.length(d).between(14, 19) & luhn(d))),
         "phone": F.filter(matches(text, PHONE, has("+")), lambda x: F.length(digits(x)).between(10, 15)),
-        "iban": F.filter(matches(text, IBAN), lambda x: let(F.regexp_replace(x["m"], " ", ""), lambda a: F.length(a).between(15, 34) & mod97(a))),
+        "iban": accounts(text),
         "ssn": matches(text, SSN, has("-")),
     }
     out = df.select(F.col(id_col), text.alias("_text"), *(c.alias(k) for k, c in found.items()))
