@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import documents, each, map_texts, written
+from .common import documents, each, map_texts, text_or_empty, written
 from .components import stars
 
 SHINGLE = 4
@@ -190,16 +190,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each component: the one of the smallest id.
+    """``df`` with one row of each component: the one of the smallest id, of equal ids the one of the least text hash.
 
-    Of rows that repeat that id one stays, the one of the least text hash.  Rows
-    with a null id cannot be told apart by it and all stay.
+    Components are of texts, so rows that share an id may be in several.  Rows
+    with a null id are chosen among themselves, one of each component.
     """
-    first = near_duplicates(df, id_col, text_col).select(F.col("component_id").alias("_first")).filter("_first is not null").distinct()
-    chosen = df.join(first, df[id_col] == first["_first"], "left_semi")
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    named = chosen.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
-    return named.unionByName(df.filter(F.col(id_col).isNull()))
+    text_key = F.md5(text_or_empty(text_col))
+    rows = fingerprints(df.select(text_key.alias("_key"), F.col(text_col).alias("_text")), "_key", "_text")
+    texts = written(rows.distinct(), "fingerprints")
+    nodes = written(texts.select("fp").distinct(), "nodes")
+    ends = stars(links(nodes))
+    roots = nodes.join(ends, nodes["fp"] == ends["u"], "left").select("fp", F.coalesce("v", "fp").alias("_root"))
+    least = df.groupBy(text_key.alias("_key"), F.col(id_col).isNull().alias("_none")).agg(F.min(id_col).alias("_first"))
+    of = least.join(texts.join(roots, "fp").select("_key", "_root"), "_key")
+    heads = written(of.groupBy("_root", "_none").agg(F.min(F.struct("_first", "_key")).alias("b")).select("b.*"), "heads")
+    keyed = df.withColumn("_key", text_key)
+    chosen = keyed.join(heads, keyed[id_col].eqNullSafe(heads["_first"]) & (keyed["_key"] == heads["_key"]), "left_semi")
+    one = Window.partitionBy(id_col, "_key").orderBy(F.xxhash64(*df.columns))
+    return chosen.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*df.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

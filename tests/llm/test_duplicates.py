@@ -101,6 +101,14 @@ def test_simhash_on_nothing_and_null_ids(spark):
     assert sorted((r.doc_id or 0) for r in simhash.representatives(df).collect()) == [0, 3, 5]
 
 
+def test_one_row_of_each_group_whatever_its_id(spark):
+    one, two, three = ("alpha beta gamma delta epsilon", "quick brown foxes jump over lazy dogs", "lorem ipsum dolor sit amet tempor")
+    assert min((simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() if a != b else 64 for a in (one, two, three) for b in (one, two, three)) > simhash.MOST_BITS
+    df = spark.createDataFrame([(7, one), (7, two), (8, two), (9, one)] + [(None, three)] * 50, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in simhash.representatives(df).collect())
+    assert got == sorted([(7, one), (7, two), (0, three)])
+
+
 # --- suffix arrays
 
 
