@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,27 +19,59 @@ SLICE_CHARS = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one, in local mode alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if made.isDefined():
-            return made.get()
-        base = tempfile.mkdtemp(prefix="cartoflow-")
-        spark.sparkContext.setCheckpointDir(base)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return base
+    if base:
+        return base
+    sc = spark.sparkContext
+    made = sc._jsc.sc().getCheckpointDir()
+    if not made.isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cartoflow-"))
+        made = sc._jsc.sc().getCheckpointDir()
+    return made.get()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+#: This process' folder below each shared one; what it holds is deleted when the process ends.
+_RUN = f"run-{uuid.uuid4().hex}"
+_known: set[str] = set()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/cartoflow/{name}-{uuid.uuid4().hex}"
+    run = f"{shared_folder(spark).rstrip('/')}/cartoflow/{_RUN}"
+    if run not in _known:
+        _known.add(run)
+        sc = spark.sparkContext
+        jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+
+        def clean() -> None:
+            with contextlib.suppress(Exception):  # the JVM may be gone
+                at = jvm.org.apache.hadoop.fs.Path(run)
+                at.getFileSystem(conf).delete(at, True)
+
+        atexit.register(clean)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the table of ``written`` that nothing reads any more."""
+    _delete(df.sparkSession, df._written_to)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

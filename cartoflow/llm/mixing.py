@@ -3,19 +3,21 @@
 Documents fall into cells of source, language and topic; a value that no target
 names counts as ``other``, so the number of cells is bounded by the targets.
 Iterative proportional fitting scales the cells' token weights until their
-marginals are the targets.  Sampling probabilities are proportional to the
-scale factors, up to 1, and calibrated so that the expected tokens are
-KEEP_SHARE of all.  A document is kept if a hash of its id, as a number from 0
-to 1, is below its cell's probability.
-
-A probability cannot pass 1, so a cell with too few tokens falls short of its
-target and the others take its part.  Copies have no such bound: KEEP_SHARE
-times the factor of each row are expected, the whole part always and one more
-by the hash, and their tokens meet the raked marginals.
-
-Null source, language or topic: ``other``.  Null text: no tokens.  Rows with a
-null id share one hash.  Repeated rows fare alike; an empty table gives an
-empty result.
+marginals are the targets.  A cell's sampling probability is its scale factor
+over the largest one, so that no probability is cut off at 1 and the expected
+tokens have the raked marginals; the share of all tokens that is kept follows
+from the targets.  A document is kept if a hash of its id, as a number from 0 to
+1, is below its cell's probability.  ``marginals`` tells targets, shares reached
+and what is left between them.
+
+The topic of a text is what it holds: rows of a table, licence notices, contact
+data, credentials or code, else prose.
+
+Null source or language: ``other``.  Null text: no tokens, prose.  Very long
+texts are matched in time in proportion to them.  Rows with a null id are drawn
+by their text, so unlike ones fare each on its own.  Repeated rows fare alike;
+extra columns travel as one struct, so their names cannot clash; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,15 +26,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, text_or_empty, written
-from .spans import let
 
 OTHER = "other"
 SOURCE_TARGET = {f"src{i}": 0.0495 for i in range(20)} | {OTHER: 0.01}
 LANG_TARGET = {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.09, OTHER: 0.01}
-TOPIC_TARGET = {"table": 0.1, "short": 0.1, "medium": 0.45, "long": 0.35}
+TOPIC_TARGET = {"prose": 0.9, "table": 0.03, "notice": 0.03, "contact": 0.03, "code": 0.01}
 TARGETS = {"source": SOURCE_TARGET, "lang": LANG_TARGET, "topic": TOPIC_TARGET}
-ROUNDS = 20
-KEEP_SHARE = 0.8
+ROUNDS = 40
+#: Topic: pattern of a text that has it, the first that matches; regular expressions that Java and RE2 read alike.
+TOPICS = {
+    "table": r" \| ",
+    "notice": r"(?i)licen[cs]e|copyright|rights reserved|warrant(?:y|ies)",
+    "contact": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.|\+[0-9][\x20().0-9-]{8}",
+    "code": r"(?i)(?:password|passwd|secret|token|api_?key)[\x20\"']*[:=]|AKIA[A-Z0-9]{16}",
+}
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -40,8 +47,11 @@ def n_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def topic(text: Column, tokens: Column) -> Column:
-    return F.when(F.contains(text, F.lit(" | ")), "table").when(tokens < 100, "short").when(tokens < 1000, "medium").otherwise("long")
+def topic(text: Column) -> Column:
+    out = F
+    for name, pattern in TOPICS.items():
+        out = out.when(F.rlike(text, F.lit(pattern)), name)
+    return out.otherwise("prose")
 
 
 def cell(column: Column, target: dict[str, float]) -> Column:
@@ -49,9 +59,9 @@ def cell(column: Column, target: dict[str, float]) -> Column:
     return F.when(value.isin(*(k for k in target if k != OTHER)), value).otherwise(OTHER)
 
 
-def draw(id_col: str) -> Column:
-    """0 to 1, by the first 32 bits of the id's MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+def draw(id_col: Column, text: Column) -> Column:
+    """0 to 1, by the first 32 bits of the MD5 of the id, or of the text where there is none."""
+    return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), text, F.lit(""))), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def rake(cells: dict[tuple, int], targets: list[dict[str, float]], rounds: int = ROUNDS) -> dict[tuple, float]:
@@ -69,59 +79,56 @@ def rake(cells: dict[tuple, int], targets: list[dict[str, float]], rounds: int =
     return {c: weights[c] / n if n else 0.0 for c, n in cells.items()}
 
 
-def calibrate(cells: dict[tuple, int], factors: dict[tuple, float], share: float = KEEP_SHARE) -> dict[tuple, float]:
-    """Probabilities min(1, c * factor) with expected tokens ``share`` of all; without tokens, 1."""
-    ordered = sorted((c for c in cells if cells[c] and factors[c] > 0), key=lambda c: (-factors[c], c))
-    left, rest = share * sum(cells.values()), sum(cells[c] * factors[c] for c in ordered)
-    found = {c: 0.0 if cells[c] else 1.0 for c in cells}
-    for i, c in enumerate(ordered):
-        if rest <= 0 or left / rest * factors[c] <= 1:
-            found |= {x: min(1.0, left / rest * factors[x]) if rest > 0 else 1.0 for x in ordered[i:]}
-            break
-        found[c] = 1.0
-        left -= cells[c]
-        rest -= cells[c] * factors[c]
-    return found
+def calibrate(cells: dict[tuple, int], factors: dict[tuple, float]) -> dict[tuple, float]:
+    """Probabilities in proportion to the factors, the largest of them 1; of cells without tokens, 1."""
+    most = max((factors[c] for c in cells if cells[c]), default=0.0)
+    return {c: factors[c] / most if n and most > 0 else 1.0 for c, n in cells.items()}
 
 
-def probabilities(rows: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, share: float = KEEP_SHARE) -> DataFrame:
-    """_prob and _copies, both expected, for each cell of ``rows`` (columns of the targets' names, n_tokens); as many rows as the targets allow."""
-    dims = list(targets)
-    cells = {tuple(r[d] for d in dims): r["n"] for r in rows.groupBy(*dims).agg(F.sum("n_tokens").alias("n")).orderBy(*dims).collect()}
-    factors = rake(cells, list(targets.values()))
-    found = calibrate(cells, factors, share)
-    schema = ", ".join(f"`{d}` string" for d in dims) + ", _prob double, _copies double"
-    return rows.sparkSession.createDataFrame([(*c, p, share * factors[c] if cells[c] else 1.0) for c, p in found.items()], schema)
+def cell_tokens(rows: DataFrame, dims: list[str]) -> dict[tuple, int]:
+    """Tokens of each cell; as many cells as the targets allow."""
+    return {tuple(r[d] for d in dims): r["n"] for r in rows.groupBy(*dims).agg(F.sum("n_tokens").alias("n")).orderBy(*dims).collect()}
 
 
-def copies(id_col: str) -> Column:
-    """Whole copies of a row: the whole part of _copies, and one more if the draw is below the rest."""
-    whole = F.floor("_copies")
-    return whole + (draw(id_col) < F.col("_copies") - whole).cast("long")
+def probabilities(rows: DataFrame, targets: dict[str, dict[str, float]] = TARGETS) -> DataFrame:
+    """prob of each cell of ``rows`` (columns of the targets' names, n_tokens)."""
+    cells = cell_tokens(rows, list(targets))
+    found = calibrate(cells, rake(cells, list(targets.values())))
+    return rows.sparkSession.createDataFrame([(*c, p) for c, p in found.items()], ", ".join(f"`{d}` string" for d in targets) + ", prob double")
 
 
 def celled(df: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> Column:
     """struct<n_tokens, source, lang, topic> of a row."""
     text = text_or_empty(text_col)
-    return let(n_tokens(text), lambda n: F.struct(n.alias("n_tokens"), cell(F.col(source_col), SOURCE_TARGET).alias("source"), cell(F.col(lang_col), LANG_TARGET).alias("lang"), topic(text, n).alias("topic")))
+    return F.struct(n_tokens(text).alias("n_tokens"), cell(F.col(source_col), SOURCE_TARGET).alias("source"), cell(F.col(lang_col), LANG_TARGET).alias("lang"), topic(text).alias("topic"))
 
 
 def weigh(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """``id_col``, n_tokens, source, lang and topic as cells, prob, kept, expected and whole copies of each row."""
-    rows = written(df.select(F.col(id_col), celled(df, text_col, source_col, lang_col).alias("_c")).select(id_col, "_c.*"), "cells")
-    joined = rows.join(F.broadcast(probabilities(rows)), list(TARGETS)).withColumn("kept", draw(id_col) < F.col("_prob")).withColumn("copies", copies(id_col))
-    return joined.withColumnsRenamed({"_prob": "prob", "_copies": "expected_copies"})
+    """``id_col``, n_tokens, source, lang and topic as cells, prob and kept of each row."""
+    rows = written(df.select(F.col(id_col).alias("id"), draw(F.col(id_col), F.col(text_col)).alias("draw"), celled(df, text_col, source_col, lang_col).alias("c")).select("id", "draw", "c.*"), "cells")
+    joined = rows.join(F.broadcast(probabilities(rows)), list(TARGETS))
+    return joined.select(F.col("id").alias(id_col), "n_tokens", *TARGETS, "prob", (F.col("draw") < F.col("prob")).alias("kept"))
 
 
-def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", repeat: bool = False) -> DataFrame:
-    """The rows of ``df`` that are kept, with their columns; with ``repeat``, each as often as it has copies, which meets the targets."""
-    tagged = df.withColumn("_c", celled(df, text_col, source_col, lang_col))
-    probs = probabilities(written(tagged.select("_c.*"), "cells"))
-    key = [F.col(f"_c.{d}") == probs[d] for d in TARGETS]
-    joined = tagged.join(F.broadcast(probs), key)
-    if repeat:
-        return joined.withColumn("_n", F.explode(F.sequence(F.lit(0), copies(id_col)))).filter("_n > 0").select(*(df[c] for c in df.columns))
-    return joined.filter(draw(id_col) < F.col("_prob")).select(*(df[c] for c in df.columns))
+def marginals(judged: DataFrame, targets: dict[str, dict[str, float]] = TARGETS) -> DataFrame:
+    """dim, value, target (shared out among the values that have tokens), expected and sampled share of the tokens, and the residual
+    (expected less target), of the rows of ``weigh``."""
+    out = []
+    for d, target in targets.items():
+        rows = judged.groupBy(d).agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("prob")).alias("e"), F.sum(F.when(F.col("kept"), F.col("n_tokens")).otherwise(0)).alias("s")).filter("n > 0").collect()
+        named, expected, sampled = sum(target.get(r[d], 0.0) for r in rows), sum(r["e"] for r in rows), sum(r["s"] for r in rows)
+        for r in rows:
+            wanted, reached = target.get(r[d], 0.0) / named if named else 0.0, r["e"] / expected if expected else 0.0
+            out.append((d, r[d], wanted, reached, r["s"] / sampled if sampled else 0.0, reached - wanted))
+    return judged.sparkSession.createDataFrame(out, "dim string, value string, target double, expected double, sampled double, residual double")
+
+
+def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``df`` that are kept, with their columns."""
+    tagged = df.select(F.struct("*").alias("row"), draw(F.col(id_col), F.col(text_col)).alias("draw"), celled(df, text_col, source_col, lang_col).alias("c"))
+    probs = probabilities(written(tagged.select("c.*"), "cells"))
+    joined = tagged.join(F.broadcast(probs), [F.col(f"c.{d}") == probs[d] for d in TARGETS])
+    return joined.filter(F.col("draw") < F.col("prob")).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,18 +147,17 @@ def _sql() -> str:
         )
         last = f"c{k + 1}"
     targets = ", ".join(f"t_{d}({d}, share) as (values " + ", ".join(f"('{v}', {x}::double)" for v, x in TARGETS[d].items()) + ")" for d in dims)
-    return f"""with d as (select doc_id, coalesce(text, '') as t, source, lang, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as n_tokens from documents),
-        f as materialized (select doc_id, n_tokens, {named("source")}, {named("lang")}, case when contains(t, ' | ') then 'table' when n_tokens < 100 then 'short' when n_tokens < 1000 then 'medium' else 'long' end as topic from d),
+    quoted = {k: v.replace("'", "''") for k, v in TOPICS.items()}
+    topics = " ".join(f"when regexp_matches(t, '{v}') then '{k}'" for k, v in quoted.items())
+    return f"""with d as (select doc_id, text, coalesce(text, '') as t, source, lang, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as n_tokens from documents),
+        f as materialized (select doc_id, text, n_tokens, {named("source")}, {named("lang")}, case {topics} else 'prose' end as topic from d),
         {targets}, c0 as materialized (select source, lang, topic, sum(n_tokens)::double as n, sum(n_tokens)::double as w from f group by all),
         total as (select sum(n) as total from c0), {", ".join(steps)},
-        o as (select *, w / n as x from {last} where n > 0 and w > 0),
-        k as (select *, {KEEP_SHARE}::double * total - coalesce(sum(n) over prior, 0) as l, sum(w) over later as r from o, total
-            window prior as (order by x desc, source, lang, topic rows between unbounded preceding and 1 preceding), later as (order by x desc, source, lang, topic rows between current row and unbounded following)),
-        m as (select max(l / r) filter (l / r * x <= 1) as unused, first(l / r order by x desc, source, lang, topic) filter (l / r * x <= 1) as c from k),
-        q as (select c0.source as source, c0.lang as lang, c0.topic as topic, case when c0.n = 0 then 1.0 when o.x is null then 0.0 else least(1.0, coalesce(c, 1e300) * o.x) end as prob
+        o as (select *, w / n as x from {last} where n > 0), m as (select max(x) as most from o),
+        q as (select c0.source as source, c0.lang as lang, c0.topic as topic, case when c0.n = 0 or most is null or most = 0 then 1.0::double else x / most end as prob
             from c0 left join o on o.source = c0.source and o.lang = c0.lang and o.topic = c0.topic, m)
         select doc_id, n_tokens, source as cell_source, lang as cell_lang, topic, round(prob, 6) as prob,
-            ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0::double < prob as kept from f join q using (source, lang, topic)"""
+            ('0x' || substr(md5(coalesce(doc_id::varchar, text, '')), 1, 8))::bigint / 4294967296.0::double < prob as kept from f join q using (source, lang, topic)"""
 
 
 QUERIES = {"op5_mixing": op5_mixing}
