@@ -2,13 +2,16 @@
 
 Column expressions and aggregates only.  What reaches the driver is one row per
 vote pattern, 3 ** len(RULES) at most, whatever the number of documents.
-Null text counts as empty.  Repeated rows each get their row; other columns are
-left out, so their names cannot clash; an empty table gives an empty result.
+Null text counts as empty.  Very long texts: one sort of their 3-word windows.
+Repeated rows each get their row; equal vote patterns get equal quality, and a
+quality of THRESHOLD itself is kept; other columns are left out, so their names
+cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +30,13 @@ RULES = {
     "repeats": ("100 * n_repeat_words > 30 * n_words", "false"),
     "letters": ("10 * n_letters < 9 * word_chars", "100 * n_letters >= 94 * word_chars"),
 }
-#: Rounds of EM, the accuracy each rule starts with, pseudo-counts, and the prior share of good documents and its bounds.
-ROUNDS = 10
-START_ACCURACY = 0.8
+#: Rounds of EM at most, and the change of a probability below which it has converged.
+ROUNDS = 80
+TOLERANCE = 1e-10
+#: Where EM starts, and what SMOOTHING pseudo-votes hold: chances of the votes -1, 0 and 1 on a good and on a bad document.
+START = ((0.1, 0.3, 0.6), (0.6, 0.3, 0.1))
 SMOOTHING = 10.0
 START_GOOD = 0.8
-GOOD_BOUNDS = (0.05, 0.95)
-ACCURACY_BOUNDS = (0.55, 0.99)
 THRESHOLD = 0.5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters")
 
@@ -77,27 +80,44 @@ def votes() -> list[Column]:
     return [F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end").alias(f"v_{name}") for name, (bad, good) in RULES.items()]
 
 
-def clamp(x: float, bounds: tuple[float, float]) -> float:
-    return min(max(x, bounds[0]), bounds[1])
+class Model(NamedTuple):
+    """Share of good documents, and for each rule the chances of the votes -1, 0 and 1 on a good and on a bad document.
+
+    A rule that only ever speaks against documents is told by how often it does
+    so in either class; that it keeps silent then counts a little in favour.
+    """
+
+    good: float
+    chances: list[tuple[tuple[float, ...], tuple[float, ...]]]
+
+    def weight(self, rule: int, vote: int) -> float:
+        good, bad = self.chances[rule]
+        return math.log(good[vote + 1] / bad[vote + 1])
+
+    def odds(self) -> float:
+        return math.log(self.good / (1 - self.good))
 
 
-def posterior(pattern: tuple[int, ...], good: float, accuracy: list[float]) -> float:
-    odds = math.log(good / (1 - good)) + sum(v * math.log(a / (1 - a)) for v, a in zip(pattern, accuracy, strict=True))
-    return 1 / (1 + math.exp(-odds))
+def posterior(pattern: tuple[int, ...], model: Model) -> float:
+    odds = model.odds() + sum(model.weight(j, v) for j, v in enumerate(pattern))
+    return 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[float]]:
-    """Share of good documents and each rule's accuracy, by expectation-maximisation over pattern counts."""
-    good, accuracy = START_GOOD, [START_ACCURACY] * len(RULES)
+def fit(patterns: list[tuple[tuple[int, ...], int]]) -> Model:
+    """By expectation-maximisation over pattern counts, to convergence."""
+    model = Model(START_GOOD, [START] * len(RULES))
     total = sum(n for _, n in patterns)
     for _ in range(ROUNDS if total else 0):
-        p = [(v, n, posterior(v, good, accuracy)) for v, n in patterns]
-        good = clamp(sum(n * q for _, n, q in p) / total, GOOD_BOUNDS)
-        for j in range(len(accuracy)):
-            right = sum(n * (q if v[j] > 0 else 1 - q) for v, n, q in p if v[j])
-            cast = sum(n for v, n, _ in p if v[j])
-            accuracy[j] = clamp((right + SMOOTHING * START_ACCURACY) / (cast + SMOOTHING), ACCURACY_BOUNDS)
-    return good, accuracy
+        p = [(v, n * q, n * (1 - q)) for v, n in patterns for q in [posterior(v, model)]]
+        sums = [sum(x[k] for x in p) for k in (1, 2)]
+        votes_of = lambda j, k, v: sum(x[k] for x in p if x[0][j] == v)
+        chances = [tuple(tuple((votes_of(j, k + 1, v) + SMOOTHING * START[k][v + 1]) / (sums[k] + SMOOTHING) for v in (-1, 0, 1)) for k in (0, 1)) for j in range(len(RULES))]
+        found = Model((sums[0] + SMOOTHING * START_GOOD) / (total + SMOOTHING), chances)
+        change = max(abs(a - b) for x, y in zip([*found.chances, ((found.good,), ())], [*model.chances, ((model.good,), ())], strict=True) for c, d in zip(x, y, strict=True) for a, b in zip(c, d, strict=True))
+        model = found
+        if change < TOLERANCE:
+            break
+    return model
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,10 +125,10 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     rows = written(counts(df, id_col, text_col), "quality").select(id_col, *COUNTS, *votes())
     cast = [f"v_{name}" for name in RULES]
     patterns = [(tuple(r[c] for c in cast), r["n"]) for r in rows.groupBy(*cast).agg(F.count("*").alias("n")).orderBy(*cast).collect()]
-    good, accuracy = fit(patterns)
-    odds = F.lit(math.log(good / (1 - good)))
-    for c, a in zip(cast, accuracy, strict=True):
-        odds = odds + F.col(c) * F.lit(math.log(a / (1 - a)))
+    model = fit(patterns)
+    odds = F.lit(model.odds())
+    for j, c in enumerate(cast):
+        odds = odds + F.element_at(F.array(*(F.lit(model.weight(j, v)) for v in (-1, 0, 1))), F.col(c) + 2)
     base_failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     return rows.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & (F.col("quality") >= THRESHOLD))
 
@@ -121,13 +141,14 @@ def _sql() -> str:
     names = list(RULES)
     cast = ", ".join(f"case when {bad} then -1 when {good} then 1 else 0 end as v_{n}" for n, (bad, good) in RULES.items())
     vs = ", ".join(f"v_{n}" for n in names)
-    lo, hi = GOOD_BOUNDS
-    alo, ahi = ACCURACY_BOUNDS
-    steps = [f"m0 as (select {START_GOOD}::double as g, " + ", ".join(f"{START_ACCURACY}::double as a_{n}" for n in names) + ")"]
-    post = "1 / (1 + exp(-(ln(g / (1 - g)) + " + " + ".join(f"v_{n} * ln(a_{n} / (1 - a_{n}))" for n in names) + ")))"
+    cols = [(n, k, v) for n in names for k in (0, 1) for v in (-1, 0, 1)]
+    at = lambda n, k, v: f"p_{n}_{k}_{v + 1}"
+    steps = [f"m0 as (select {START_GOOD}::double as g, " + ", ".join(f"{START[k][v + 1]}::double as {at(n, k, v)}" for n, k, v in cols) + ")"]
+    weight = lambda n: f"case v_{n} " + " ".join(f"when {v} then ln({at(n, 0, v)} / {at(n, 1, v)})" for v in (-1, 0, 1)) + " end"
+    post = "1 / (1 + exp(-(ln(g / (1 - g)) + " + " + ".join(weight(n) for n in names) + ")))"
     for k in range(ROUNDS):
-        acc = ", ".join(f"least(greatest((coalesce(sum(c * case when v_{n} > 0 then q else 1 - q end) filter (v_{n} <> 0), 0) + {SMOOTHING * START_ACCURACY}::double) / (coalesce(sum(c) filter (v_{n} <> 0), 0) + {SMOOTHING}::double), {alo}::double), {ahi}::double) as a_{n}" for n in names)
-        steps.append(f"m{k + 1} as materialized (select least(greatest(sum(c * q) / sum(c), {lo}::double), {hi}::double) as g, {acc} from (select p.*, {post} as q from p, m{k}))")
+        share = lambda n, c, v: f"(coalesce(sum(case when v_{n} = {v} then c * {('q', '(1 - q)')[c]} else 0 end), 0) + {SMOOTHING * START[c][v + 1]}::double) / (sum(c * {('q', '(1 - q)')[c]}) + {SMOOTHING}::double) as {at(n, c, v)}"
+        steps.append(f"m{k + 1} as materialized (select (sum(c * q) + {SMOOTHING * START_GOOD}::double) / (sum(c) + {SMOOTHING}::double) as g, " + ", ".join(share(*x) for x in cols) + f" from (select {vs}, c, {post} as q from p, m{k}))")
     return f"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
         w as materialized (select r, doc_id, t, regexp_extract_all(t, '{WORD}') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) as l from d),
         u as (select r, unnest(range(1, greatest(len(w) - 1, 1))) as i, w from w),
