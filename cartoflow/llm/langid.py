@@ -1,9 +1,12 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-A null text, or one without a letter, is ``und`` with score 0.  Where nothing
-can be learnt (no labelled rows) every text is ``und``.  Repeated rows each get
-their row; columns other than those named are left out; an empty table gives an
-empty result.
+The prior of a language is its share of the rows that are learnt from.  A null
+text, or one without a letter, is ``und`` with score 0.  Where nothing can be
+learnt (no labelled rows) every text is ``und``.  Ties go to the language that
+sorts first.  A very long text is scored from its slot counts, SCORED slots at a
+time, so memory does not grow with it beyond its own n-grams.  Repeated rows
+each get their row; columns are passed on by place, so their names cannot clash;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +28,16 @@ GRAMS = (1, 2, 3)
 SLOTS = 1 << 16
 #: Labelled rows of a language that are learnt from, about: a bounded sample, by hash of the id.
 SAMPLE_ROWS = 4000
-#: Tasks that count; each returns SLOTS numbers a language.  Languages that may be learnt at most.
+#: Tasks that count; each returns SLOTS numbers a language.  Languages of a part of the model, which is what a task holds at once.
 COUNTERS = 6
-MOST_LANGUAGES = 200
+PART_LANGUAGES = 64
 SMOOTHING = 0.5
 #: Standard deviations that a text's mean log likelihood may lie below that of its language.
 MOST_BELOW = 5.0
-#: Characters that are scored at once.
+#: Characters of a batch, n-grams that are hashed at once, and slots that are looked up at once.
 BATCH_CHARS = 400_000
+HASHED = 1 << 20
+SCORED = 1 << 14
 _letter = re.compile(r"[^\W\d_]")
 _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -41,9 +46,9 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def slots_of(text: str) -> np.ndarray:
-    """Slot of every n-gram of the lower-cased text, repeats included."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def slots_of(lowered: str) -> np.ndarray:
+    """Slot of every n-gram of a lower-cased text, repeats included, shorter ones first."""
+    points = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), np.uint32)
     parts = []
     for n in GRAMS:
         if len(points) < n:
@@ -56,112 +61,165 @@ def slots_of(text: str) -> np.ndarray:
     return np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (SLOTS x languages), learnt from rows that are not held out and have text and language."""
+def slot_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots of a text's n-grams and how often each occurs: its row of the sparse matrix."""
+    counts, text = np.zeros(SLOTS, np.int64), text.lower()
+    for at in range(0, max(1, len(text)), HASHED):
+        # n-grams are counted in the piece that they start in
+        piece = text[at : at + HASHED + max(GRAMS) - 1]
+        slots = slots_of(piece)
+        if at + HASHED < len(text):
+            sizes = [max(0, len(piece) - n + 1) for n in GRAMS]
+            begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            slots = np.concatenate([slots[b : b + min(HASHED, n)] for b, n in zip(begins.tolist(), sizes, strict=True)])
+        counts += np.bincount(slots, minlength=SLOTS)
+    found = np.flatnonzero(counts)
+    return found, counts[found]
+
+
+class Model:
+    """Languages in order, log priors, and log probabilities as parts of (SLOTS x PART_LANGUAGES) float32, broadcast one by one."""
+
+    def __init__(self, langs: list[str], prior: np.ndarray, parts: list) -> None:
+        self.langs, self.prior, self.parts = langs, prior, parts
+
+    def spread(self) -> dict[str, float]:
+        """Variance of an n-gram's log likelihood in each language."""
+        out = []
+        for part in self.parts:
+            table = part.value.astype(np.float64)
+            chance = np.exp(table)
+            out += ((chance * table**2).sum(axis=0) - (chance * table).sum(axis=0) ** 2).tolist()
+        return dict(zip(self.langs, out, strict=True))
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learnt from rows that are not held out and have text and language, about SAMPLE_ROWS of each language; priors from all of them."""
     rows = df.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("_h"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
-    totals = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not totals:
-        return [], np.zeros((SLOTS, 0))
+    totals = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy("_lang").collect()}  # a row a language
+    langs = sorted(totals)
+    parts = [_part(rows, {x: totals[x] for x in langs[i : i + PART_LANGUAGES]}) for i in range(0, len(langs), PART_LANGUAGES)]
+    return Model(langs, np.log(np.array([totals[x] for x in langs]) / max(1, sum(totals.values()))), parts)
+
+
+def _part(rows: DataFrame, totals: dict[str, int]) -> object:
     shares = F.create_map(*(x for lang, n in totals.items() for x in (F.lit(lang), F.lit(min(1.0, SAMPLE_ROWS / n)))))
-    sample = rows.filter(F.pmod("_h", F.lit(1 << 20)) < F.element_at(shares, F.col("_lang")) * (1 << 20)).select("_lang", "_text").repartition(COUNTERS)
+    sample = rows.filter(F.col("_lang").isin(list(totals)) & (F.pmod("_h", F.lit(1 << 20)) < F.element_at(shares, F.col("_lang")) * (1 << 20))).select("_lang", "_text").repartition(COUNTERS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = sums.setdefault(lang, np.zeros(SLOTS, np.int64))
-                own += np.bincount(slots_of(text.as_py()), minlength=SLOTS)
+                slots, n = slot_counts(text.as_py())
+                own[slots] += n
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["lang", "sums"])
 
     counted = {lang: np.zeros(SLOTS) for lang in totals}
-    for r in sample.mapInArrow(count, "lang string, sums binary").collect():
+    for r in sample.mapInArrow(count, "lang string, sums binary").collect():  # COUNTERS rows a language
         counted[r["lang"]] += np.frombuffer(r["sums"], np.int64)
-    langs = sorted(counted)
-    table = np.stack([counted[x] for x in langs], axis=1) + SMOOTHING
-    return langs, np.log(table / table.sum(axis=0))
+    table = np.stack([counted[x] for x in sorted(counted)], axis=1) + SMOOTHING
+    return rows.sparkSession.sparkContext.broadcast(np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
 def scores(texts: list[str], table: np.ndarray) -> np.ndarray:
-    """Log likelihood (texts x languages): a sparse matrix of n-gram slots, row by row, times the table."""
-    each = [slots_of(x) for x in texts]
+    """Log likelihood (texts x languages): the sparse matrix of slot counts times the table, row by row."""
     out = np.zeros((len(texts), table.shape[1]))
-    full = [i for i, x in enumerate(each) if len(x)]
-    if full:
-        starts = np.concatenate([[0], np.cumsum([len(each[i]) for i in full])[:-1]])
-        out[full] = np.add.reduceat(table[np.concatenate([each[i] for i in full])], starts, axis=0)
+    for i, text in enumerate(texts):
+        slots, counts = slot_counts(text)
+        for at in range(0, len(slots), SCORED):
+            out[i] += counts[at : at + SCORED] @ table[slots[at : at + SCORED]].astype(np.float64)
     return out
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, evidence: bool = False) -> DataFrame:
-    """``columns`` (``id_col`` alone if None) of each row, then held_out, lang_pred and score, the posterior probability of that language.
-
-    With ``evidence`` also n_grams and per_gram, the mean log likelihood of an
-    n-gram in that language, which unlike the score does not grow with length.
-    """
-    columns = [id_col] if columns is None else columns
-    added = StructType.fromDDL("held_out boolean, lang_pred string, score double" + (", n_grams long, per_gram double" if evidence else ""))
-    full = StructType([*(df.schema[c] for c in columns), *added])
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def best_of(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the likeliest language of each text, its posterior probability, and its log likelihood without the prior; a part of the model at a time."""
+    n = len(texts)
+    best, top, own, rest, at = np.zeros(n, np.int64), np.full(n, -np.inf), np.zeros(n), np.zeros(n), 0
+    for part in model.parts:
+        bare = scores(texts, part.value)
+        likely = bare + model.prior[at : at + bare.shape[1]]
+        k = likely.argmax(axis=1)
+        here = likely[np.arange(n), k]
+        higher = np.maximum(top, here)
+        rest = rest * np.exp(top - higher) + np.exp(likely - higher[:, None]).sum(axis=1)
+        better = here > top
+        best, own, top = np.where(better, k + at, best), np.where(better, bare[np.arange(n), k], own), higher
+        at += bare.shape[1]
+    return best, 1 / rest, own
+
+
+def _tagged(df: DataFrame, model: Model, columns: list[str], id_col: str, text_col: str) -> DataFrame:
+    """``columns`` as c0, c1, ..., then held_out, lang_pred, score, n_grams and per_gram."""
+    added = StructType.fromDDL("held_out boolean, lang_pred string, score double, n_grams long, per_gram double")
+    given = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]
+    taken = df.select(*given, F.coalesce(held_out(id_col), F.lit(False)).alias("held"), F.col(text_col).alias("text"))
     n = len(columns)
+    full = StructType([*taken.schema[:n], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        langs, table = shared.value
         arrow = to_arrow_schema(full)
         for batch in batches:
             column = batch.column(n + 1)
             for start, end in slices((x or 0 for x in pa.compute.binary_length(column).to_pylist()), BATCH_CHARS):
                 texts = column.slice(start, end - start).to_pylist()
-                known = [i for i, x in enumerate(texts) if langs and x and _letter.search(x)]
+                known = [i for i, x in enumerate(texts) if model.langs and x and _letter.search(x)]
                 found, score = ["und"] * len(texts), [0.0] * len(texts)
                 grams, mean = [0] * len(texts), [None] * len(texts)
                 if known:
-                    likely = scores([texts[i] for i in known], table)
-                    best = likely.argmax(axis=1)
-                    sure = 1 / np.exp(likely - likely.max(axis=1, keepdims=True)).sum(axis=1)
-                    for i, k, p in zip(known, best, sure, strict=True):
-                        found[i], score[i] = langs[k], float(p)
-                    for i, top in zip(known, likely.max(axis=1), strict=True) if evidence else ():
+                    for i, k, p, top in zip(known, *best_of([texts[i] for i in known], model), strict=True):
+                        found[i], score[i] = model.langs[k], float(p)
                         length = len(texts[i].lower())
                         grams[i] = sum(max(0, length - g + 1) for g in GRAMS)
                         mean[i] = float(top) / grams[i]
                 passed = [batch.column(i).slice(start, end - start).cast(arrow.field(i).type) for i in range(n + 1)]
-                more = [pa.array(grams, pa.int64()), pa.array(mean, pa.float64())] if evidence else []
-                yield pa.RecordBatch.from_arrays([*passed, pa.array(found, pa.string()), pa.array(score, pa.float64()), *more], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*passed, pa.array(found, pa.string()), pa.array(score, pa.float64()), pa.array(grams, pa.int64()), pa.array(mean, pa.float64())], schema=arrow)
 
-    given = [F.col(c).alias(f"_{i}") for i, c in enumerate(columns)]
-    return df.select(*given, F.coalesce(held_out(id_col), F.lit(False)).alias("_held"), F.col(text_col).alias("_text")).mapInArrow(run, full)
+    return taken.mapInArrow(run, full)
 
 
-def evident(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Column:
-    """Whether a row of ``predict(evidence=True)`` is as likely in its language as texts of that language are.
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, held_out, lang_pred and score, the posterior probability of that language, of each row."""
+    return _tagged(df, model, [id_col], id_col, text_col).select(F.col("c0").alias(id_col), "held_out", "lang_pred", "score")
 
-    The bound lies MOST_BELOW standard deviations below the mean of held-out
-    labelled rows, about SAMPLE_ROWS a language; short texts, whose means vary
-    more, get the variance of their n-grams besides.  Without such rows, true.
+
+def evident(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Column:
+    """Whether a tagged row is as likely in its language as texts of that language are.
+
+    per_gram, the mean log likelihood of an n-gram, does not grow with length as
+    the score does.  The bound lies MOST_BELOW standard deviations below the mean
+    of held-out labelled rows, about SAMPLE_ROWS a language; short texts, whose
+    means vary more, get the variance of their n-grams besides.  Without such
+    rows, true.
     """
-    langs, table = model
-    rows = df.filter(held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, F.col(lang_col).cast("string").alias("_lang"))
-    totals = {r["_lang"]: r["n"] for r in rows.filter(F.col("_lang").isin(langs)).groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    rows = df.filter(held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    totals = {r["lang"]: r["n"] for r in rows.filter(F.col("lang").isin(model.langs)).groupBy("lang").agg(F.count("*").alias("n")).collect()}
     bound = F.lit(True)
     if not totals:
         return bound
     shares = F.create_map(*(x for lang, n in totals.items() for x in (F.lit(lang), F.lit(min(1.0, SAMPLE_ROWS / n)))))
-    some = rows.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < F.element_at(shares, F.col("_lang")) * (1 << 20))
-    judged = predict(some, model, id_col, text_col, [id_col, "_lang"], evidence=True).filter("lang_pred = _lang")
-    chance = np.exp(table)
-    spread = (chance * table**2).sum(axis=0) - (chance * table).sum(axis=0) ** 2
-    for r in judged.groupBy("_lang").agg(F.avg("per_gram").alias("mean"), F.var_pop("per_gram").alias("var")).orderBy("_lang").collect():
+    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.element_at(shares, F.col("lang")) * (1 << 20))
+    judged = _tagged(some, model, ["lang"], "id", "text").filter("lang_pred = c0")
+    spread = model.spread()
+    for r in judged.groupBy("c0").agg(F.avg("per_gram").alias("mean"), F.var_pop("per_gram").alias("var")).orderBy("c0").collect():
         # n-grams of all lengths start at each character, so so many fewer are independent
-        own = F.lit(r["var"]) + len(GRAMS) * float(spread[langs.index(r["_lang"])]) / F.greatest(F.col("n_grams"), F.lit(1))
-        bound = F.when(F.col("lang_pred") == r["_lang"], F.col("per_gram") >= F.lit(r["mean"]) - MOST_BELOW * F.sqrt(own)).otherwise(bound)
+        own = F.lit(r["var"]) + len(GRAMS) * spread[r["c0"]] / F.greatest(F.col("n_grams"), F.lit(1))
+        bound = F.when(F.col("lang_pred") == r["c0"], F.col("per_gram") >= F.lit(r["mean"]) - MOST_BELOW * F.sqrt(own)).otherwise(bound)
     return bound
 
 
+def accepted(df: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``df`` without the rows of no learnt language, of a score below ``least``, or unlike the texts of all that were learnt; a null language is filled in."""
+    model = fit(df, id_col, text_col, lang_col)
+    tagged = _tagged(df, model, df.columns, id_col, text_col)
+    kept = tagged.filter((F.col("lang_pred") != "und") & (F.col("score") >= least) & evident(df, model, id_col, text_col, lang_col))
+    filled = {c: F.coalesce(F.col(f"c{i}"), F.col("lang_pred").cast(df.schema[c].dataType)) if c == lang_col else F.col(f"c{i}") for i, c in enumerate(df.columns)}
+    return kept.select(*(x.alias(c) for c, x in filled.items()))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return predict(docs, fit(docs))

@@ -1,8 +1,10 @@
 """Media columns: Netpbm and BMP bytes, decoded to numpy, area-resized, kept as NPY tiles with difference hashes.
 
 Null and empty text: a payload of 64 zero bytes.  Equal texts give equal
-values.  Repeated rows each get their row; columns other than the two named
-are left out; an empty table gives an empty result.
+values.  A very long text is an image of its own; its integral image is made in
+bands of rows, so memory stays near the image's.  Repeated rows each get their
+row; ties (cells of equal brightness) give a 0 bit; columns other than the two
+named are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import documents, each, map_texts, new_folder, slices
@@ -97,21 +100,36 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
     return head + palette.tobytes() + rows.tobytes()
 
 
+#: Pixels whose integral image is held at once.
+BAND = 1 << 20
+
+
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the area that each target pixel covers, exact at fractions: the integral image, interpolated at the cuts."""
-    grey = pixels if pixels.ndim == 2 else pixels.mean(axis=2)
-    h, w = grey.shape
-    integral = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(grey, axis=0, dtype=np.float64), axis=1, out=integral[1:, 1:])
-
-    def cuts(table: np.ndarray, n: int) -> np.ndarray:
-        size = len(table) - 1
-        at = np.arange(n + 1) * size / n
-        low = np.minimum(at.astype(int), size - 1)
-        part = (at - low)[:, None]
-        return table[low] * (1 - part) + table[low + 1] * part
-
-    picked = cuts(cuts(integral, height).T, width).T
+    """Mean of the area that each target pixel covers, exact at fractions: the integral image, interpolated at the cuts.
+
+    Only the rows of the integral image next to a cut are kept, band by band.
+    """
+    h, w = pixels.shape[:2]
+    at = np.arange(height + 1) * h / height
+    low = np.minimum(at.astype(int), h - 1)
+    needed = np.unique(np.concatenate([low, low + 1]))
+    kept = np.zeros((len(needed), w + 1))
+    above, step = np.zeros(w + 1), max(1, BAND // max(1, w))
+    for start in range(0, h, step):
+        band = pixels[start : start + step]
+        grey = band if band.ndim == 2 else band.mean(axis=2)
+        integral = np.zeros((len(grey) + 1, w + 1))
+        np.cumsum(np.cumsum(grey, axis=0, dtype=np.float64), axis=1, out=integral[1:, 1:])
+        integral += above
+        a, b = np.searchsorted(needed, [start, start + len(grey) + 1])
+        kept[a:b] = integral[needed[a:b] - start]
+        above = integral[-1]
+    part = (at - low)[:, None]
+    rows = kept[np.searchsorted(needed, low)] * (1 - part) + kept[np.searchsorted(needed, low + 1)] * part
+    at = np.arange(width + 1) * w / width
+    low = np.minimum(at.astype(int), w - 1)
+    part = at - low
+    picked = rows[:, low] * (1 - part) + rows[:, low + 1] * part
     return np.diff(np.diff(picked, axis=0), axis=1) / ((h / height) * (w / width))
 
 
@@ -144,14 +162,14 @@ def describe(data: bytes) -> tuple:
     pixels = decode(data)
     payload = pixels.tobytes()
     tile = npy_tile(pixels)
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{difference_hash(pixels):016x}:{zlib.crc32(tile):08x}", tile
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{difference_hash(pixels):016x}", tile
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tile binary"
 
 
 def features(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Of ``id_col``, n_bytes, media: both columns, the payload's and the image's digests, feature (difference hash, CRC of the tile) and the NPY tile."""
+    """Of ``id_col``, n_bytes, media: both columns, the payload's and the image's digests, dhash (the difference hash) and the NPY tile."""
     full = StructType.fromDDL(f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes long, {FEATURES}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,11 +185,23 @@ def features(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return df.select(id_col, "n_bytes", "media").mapInArrow(run, full)
 
 
+def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Images below ``folder``/media, then, from what was stored, features and NPY tiles below ``folder``/tiles."""
+    media = to_media(df, id_col, text_col)
+    media.write.option("compression", "zstd").parquet(f"{folder}/media")
+    stored = df.sparkSession.read.schema(media.schema).parquet(f"{folder}/media")
+    features(stored, id_col).write.option("compression", "zstd").parquet(f"{folder}/tiles")
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``write`` stored, and feature: the difference hash and the CRC of the NPY tile, as read back."""
+    return spark.read.parquet(f"{folder}/tiles").withColumn("feature", F.concat_ws(":", "dhash", F.lower(F.lpad(F.hex(F.crc32("tile")), 8, "0"))))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = to_media(documents(spark, sf_dir))
-    path = new_folder(spark, "media")
-    media.write.option("compression", "zstd").parquet(path)
-    return features(spark.read.schema(media.schema).parquet(path)).drop("tile")
+    folder = new_folder(spark, "media")
+    write(documents(spark, sf_dir), folder)
+    return read(spark, folder).drop("dhash", "tile")
 
 
 QUERIES = {"op7_media": op7_media}

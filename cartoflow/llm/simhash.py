@@ -5,15 +5,19 @@ agree on GROUPS - MOST_BITS of GROUPS bit groups at least, so pairs are looked
 for in blocks of equal bits there.  In a block, a table of Hamming distances to
 PIVOTS reference fingerprints discards pairs whose largest coordinate
 difference is over MOST_BITS (the distance cannot be smaller than that), and
-the survivors are verified.  Blocks of more than MOST_BLOCK fingerprints are
-dealt out anew by every fingerprint within half the distance, so no block's
-pairs are written out in full anywhere; see ``hot_edges``.
+the survivors are verified.  Within a block, what is already in one component is
+not compared again: leaders (fingerprints of the block itself) tie the copies
+around them first.  A block of more than MOST_BLOCK fingerprints is cut into
+parts by hash, and every two parts meet in a task of their own, with the same
+tables; no block's pairs are written out, only spanning edges.
 
 Equal fingerprints are one node, whatever the number of their documents.
 
-Null text counts as empty: no words, fingerprint zero.  Rows with a null id get
-a fingerprint and the component of it.  Repeated rows each get their row; other
-columns are left out; an empty table gives an empty result.
+Null text counts as empty: no words, fingerprint zero.  Very long texts are
+hashed in bounded steps.  Rows with a null id get a fingerprint and the
+component of it.  Repeated rows each get their row; ties in ``representatives``
+are told below; extra columns are left out, or travel as one struct, so their
+names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,8 +40,11 @@ MOST_BITS = 4
 GROUPS = 7
 #: Reference fingerprints, from a seeded generator.
 PIVOTS = np.random.default_rng(SEED).integers(0, 1 << 64, 16, dtype=np.uint64)
-#: Distinct fingerprints of a block that are compared with each other.
+#: Fingerprints of a part of a block; two parts meet in a task.
 MOST_BLOCK = 4096
+#: Leaders of a block, and the fingerprints from which on a block has them.
+LEADERS = 8
+LED = 64
 #: Rows of a partition that are held at once.
 HELD = 500_000
 
@@ -83,18 +90,47 @@ def components_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def close_pairs(keys: np.ndarray, fps: np.ndarray, most: int = MOST_BITS, held: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows sorted by key: a spanning set (as places a, b) of the pairs within a run of one key that differ in ``most`` bits or fewer."""
+def close_pairs(keys: np.ndarray, fps: np.ndarray, most: int = MOST_BITS, held: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by key: a spanning set (u, v) of the pairs within a run of one key that differ in ``most`` bits or fewer."""
+    n = len(keys)
+    if not n:
+        return fps, fps
     table = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
     nodes, of = np.unique(fps, return_inverse=True)
-    a_all, b_all, count = [], [], 0
-    at, step = np.arange(len(keys)), 1
+    label = np.arange(len(nodes))
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    sizes = np.diff(np.append(starts, n))
+    run = np.repeat(np.arange(len(starts)), sizes)
+
+    def tied(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        return components_of(len(nodes), np.concatenate([label[moved], *a]), np.concatenate([moved, *b]))
+
+    def open_rows() -> np.ndarray:
+        """Rows of runs that are not one component yet."""
+        own = label[of]
+        return np.flatnonzero((np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts))[run])
+
+    led = np.flatnonzero((sizes >= LED)[run])
+    for _ in range(LEADERS if len(led) else 0):
+        # the first row of each run that is in no leader's component yet
+        first = np.full(len(starts), n)
+        np.minimum.at(first, run[led], led)
+        leader = first[run[led]]
+        near = np.bitwise_count(fps[led] ^ fps[leader]) <= most
+        label = tied([of[led[near]]], [of[leader[near]]])
+        led = led[label[of[led]] != label[of[leader]]]
+        if not len(led):
+            break
+    at, step, a_all, b_all, count = open_rows(), 1, [], [], 0
     while True:
-        at = at[at + step < len(keys)]
+        at = at[at + step < n]
         at = at[keys[at] == keys[at + step]]
         if not len(at):
             break
-        left, right = at, at + step
+        apart = label[of[at]] != label[of[at + step]]
+        left = at[apart]
+        right = left + step
         for p in range(len(PIVOTS)):
             near = np.abs(table[left, p] - table[right, p]) <= most
             left, right = left[near], right[near]
@@ -102,34 +138,33 @@ def close_pairs(keys: np.ndarray, fps: np.ndarray, most: int = MOST_BITS, held:
         a_all.append(of[left[near]])
         b_all.append(of[right[near]])
         count += int(near.sum())
-        if count > held:
-            label = components_of(len(nodes), np.concatenate(a_all), np.concatenate(b_all))
-            moved = np.flatnonzero(label != np.arange(len(nodes)))
-            a_all, b_all, count = [label[moved]], [moved], 0
+        if count > max(held, len(nodes)):
+            label = tied(a_all, b_all)
+            a_all, b_all, count = [], [], 0
+            at = np.intersect1d(at, open_rows(), assume_unique=True)
         step += 1
-    if not a_all:
-        return nodes[:0], nodes[:0]
-    label = components_of(len(nodes), np.concatenate(a_all), np.concatenate(b_all))
+    label = tied(a_all, b_all)
     moved = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[label[moved]], nodes[moved]
 
 
-def _link(batches: Iterator[pa.RecordBatch], most_block: int = MOST_BLOCK) -> Iterator[pa.RecordBatch]:
-    """Of (key, fp) sorted by key: edges (u, v) of fingerprints; from a block that is too large, (fp, null)."""
+def _link(batches: Iterator[pa.RecordBatch], most_block: int | None = MOST_BLOCK) -> Iterator[pa.RecordBatch]:
+    """Of (key, fp) sorted by key: edges (u, v) of fingerprints; of a block that is too large, its rows as (fp, null, key)."""
 
-    def out(u: np.ndarray, v: np.ndarray | None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)) if v is not None else pa.nulls(len(u), pa.int64())], names=["u", "v"])
+    def out(u: np.ndarray, v: np.ndarray | None, key: np.ndarray | None = None) -> pa.RecordBatch:
+        none = pa.nulls(len(u), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), none if v is None else pa.array(v.view(np.int64)), none if key is None else pa.array(key)], names=["u", "v", "key"])
 
     def work(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1)) if len(keys) else np.zeros(0, int)
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
         sizes = np.diff(np.append(starts, len(keys)))
-        small = np.repeat((sizes > 1) & (sizes <= most_block), sizes)
+        small = np.repeat((sizes > 1) & (sizes <= (most_block or len(keys))), sizes)
         u, v = close_pairs(keys[small], fps[small])
         if len(u):
             yield out(u, v)
-        large = np.repeat(sizes > most_block, sizes)
+        large = np.repeat(sizes > (most_block or len(keys)), sizes)
         if large.any():
-            yield out(fps[large], None)
+            yield out(fps[large], None, keys[large])
 
     held_keys, held_fps, hot = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
     for batch in batches:
@@ -137,7 +172,7 @@ def _link(batches: Iterator[pa.RecordBatch], most_block: int = MOST_BLOCK) -> It
         if hot is not None:  # the block that is being passed on goes on
             same = keys == hot
             if same.any():
-                yield out(fps[same], None)
+                yield out(fps[same], None, keys[same])
                 keys, fps = keys[~same], fps[~same]
             if len(keys):
                 hot = None
@@ -146,36 +181,38 @@ def _link(batches: Iterator[pa.RecordBatch], most_block: int = MOST_BLOCK) -> It
             last = np.searchsorted(held_keys, held_keys[-1])
             yield from work(held_keys[:last], held_fps[:last])
             held_keys, held_fps = held_keys[last:], held_fps[last:]
-            if len(held_keys) > most_block:
+            if most_block and len(held_keys) > most_block:
                 hot = held_keys[0]
-                yield out(held_fps, None)
+                yield out(held_fps, None, held_keys)
                 held_keys, held_fps = held_keys[:0], held_fps[:0]
     yield from work(held_keys, held_fps)
 
 
-def hot_edges(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """Edges among ``fps`` (column u): each is written under every value within ``most`` // 2 bits of it.
+LINKED = "u long, v long, key long"
 
-    Two fingerprints within ``most`` bits share such a value, and all that share
-    one are within ``most`` bits of each other, so a star for each value is exact.
-    A value has 2081 fingerprints at the most.
-    """
-    flips = [sum(1 << b for b in c) for n in range(most // 2 + 1) for c in combinations(range(64), n)]
-    flips = [f - (1 << 64) if f >> 63 else f for f in flips]
-    near = fps.distinct().select("u", F.explode(F.transform(F.lit(flips), lambda m: F.col("u").bitwiseXOR(m))).alias("z"))
-    met = near.groupBy("z").agg(F.collect_set("u").alias("all")).filter(F.size("all") > 1)
-    return met.select(F.explode("all").alias("u"), F.array_min("all").alias("v")).filter("u <> v")
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", "fp")
+
+
+def part_pairs(hot: DataFrame, most_block: int = MOST_BLOCK) -> DataFrame:
+    """(key, fp) of large blocks, dealt to a key for every two of the block's parts of about ``most_block`` fingerprints."""
+    sizes = hot.groupBy("key").agg(F.ceil(F.count("*") / most_block).alias("parts"))
+    placed = hot.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return met.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "fp")
 
 
 def links(nodes: DataFrame, most_block: int = MOST_BLOCK) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs within MOST_BITS, over distinct fingerprints (column fp)."""
     block = lambda i, m: F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m)))
     keys: list[Column] = [block(i, m) for i, m in enumerate(group_masks())]
-    rows = nodes.select(F.explode(F.array(*keys)).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    found = written(rows.mapInArrow(lambda batches: _link(batches, most_block), "u long, v long"), "links")
-    hot = found.filter("v is null").select("u")
-    edges = found.filter("v is not null")
-    return edges.unionByName(hot_edges(hot)) if hot.head(1) else edges
+    rows = _dealt(nodes.select(F.explode(F.array(*keys)).alias("key"), "fp"))
+    found = written(rows.mapInArrow(lambda batches: _link(batches, most_block), LINKED), "links")
+    edges, hot = found.filter("v is not null").select("u", "v"), found.filter("v is null").select("key", F.col("u").alias("fp"))
+    if not hot.head(1):
+        return edges
+    return edges.unionByName(_dealt(part_pairs(hot, most_block)).mapInArrow(lambda batches: _link(batches, None), LINKED).select("u", "v"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -190,24 +227,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each component: the one of the smallest id, of equal ids the one of the least text hash.
+    """``df`` with one row of each component: the one of the smallest id, of equal ids the one of the least text hash,
+    of rows equal in both the one whose other columns have the least hash.
 
     Components are of texts, so rows that share an id may be in several.  Rows
     with a null id are chosen among themselves, one of each component.
     """
-    text_key = F.md5(text_or_empty(text_col))
-    rows = fingerprints(df.select(text_key.alias("_key"), F.col(text_col).alias("_text")), "_key", "_text")
-    texts = written(rows.distinct(), "fingerprints")
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.md5(text_or_empty(text_col)).alias("key"), F.col(text_col).alias("text"))
+    texts = written(fingerprints(rows, "key", "text").distinct(), "fingerprints")
     nodes = written(texts.select("fp").distinct(), "nodes")
     ends = stars(links(nodes))
-    roots = nodes.join(ends, nodes["fp"] == ends["u"], "left").select("fp", F.coalesce("v", "fp").alias("_root"))
-    least = df.groupBy(text_key.alias("_key"), F.col(id_col).isNull().alias("_none")).agg(F.min(id_col).alias("_first"))
-    of = least.join(texts.join(roots, "fp").select("_key", "_root"), "_key")
-    heads = written(of.groupBy("_root", "_none").agg(F.min(F.struct("_first", "_key")).alias("b")).select("b.*"), "heads")
-    keyed = df.withColumn("_key", text_key)
-    chosen = keyed.join(heads, keyed[id_col].eqNullSafe(heads["_first"]) & (keyed["_key"] == heads["_key"]), "left_semi")
-    one = Window.partitionBy(id_col, "_key").orderBy(F.xxhash64(*df.columns))
-    return chosen.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*df.columns)
+    roots = nodes.join(ends, nodes["fp"] == ends["u"], "left").select("fp", F.coalesce("v", "fp").alias("root"))
+    least = rows.groupBy("key", F.col("id").isNull().alias("none")).agg(F.min("id").alias("first"))
+    of = least.join(texts.join(roots, "fp").select("key", "root"), "key")
+    heads = written(of.groupBy("root", "none").agg(F.min(F.struct("first", F.col("key").alias("head"))).alias("b")).select("b.*"), "heads")
+    chosen = rows.join(heads, rows["id"].eqNullSafe(heads["first"]) & (rows["key"] == heads["head"]), "left_semi")
+    one = Window.partitionBy("id", "key").orderBy(F.xxhash64(F.to_json(F.col("row").dropFields(f"`{text_col}`"))))
+    return chosen.withColumn("n", F.row_number().over(one)).filter("n = 1").select("row.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,9 +15,14 @@ Reading back checks every payload against its digest and every recipe against
 its root.  A document's CRC is put together from its chunks' CRCs, each shifted
 by the bytes that follow it, so payloads are not gathered by document.
 
-Null and empty text: the end id alone.  Repeated rows each get their row and
-place; columns other than the two named are left out; an empty table gives an
-empty result.
+The strings of the vocabulary's added tokens become their ids wherever they
+stand in a text, as the library has it; add_special_tokens=False only keeps it
+from adding some of its own.
+
+Null and empty text: the end id alone.  A very long text is encoded by itself;
+its ids are held once.  Repeated rows each get their row and place, rows of one
+id in the order of the table; columns other than the two named are left out; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -58,13 +63,15 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """The tokenizers library's model, asked for each distinct pre-token once: it encodes pre-tokens on their own anyway."""
+    """The tokenizers library's model, asked for each distinct pre-token once: it encodes pre-tokens on their own anyway.
+    Texts with an added token's string go to the library as they are."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        self.model = library.model  # special tokens' strings in a text are ordinary text to it
+        self.library, self.model = library, library.model
+        self.added = [t.content for t in library.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -85,6 +92,10 @@ class Encoder:
             self.older, self.known = self.known, {}
         out, end = [], np.array([END_ID], self.width).tobytes()
         for text in texts:
+            if any(t in text for t in self.added):  # the library matches them before all else
+                ids = self.library.encode(text, add_special_tokens=False).ids
+                out.append(np.array([*ids, END_ID], self.width))
+                continue
             pieces = pretokens(text)
             found = list(map(self.known.get, pieces))
             if None in found:
@@ -137,6 +148,28 @@ def merkle(leaves: bytes) -> bytes:
     return level
 
 
+class Merkle:
+    """The same root over digests that come one by one; holds a digest for each power of two."""
+
+    def __init__(self) -> None:
+        self.n, self.peaks = 0, []
+
+    def add(self, leaf: bytes) -> None:
+        self.n += 1
+        self.peaks.append(leaf)
+        for _ in range((self.n & -self.n).bit_length() - 1):
+            right = self.peaks.pop()
+            self.peaks[-1] = digest(b"\1" + self.peaks[-1] + right)
+
+    def root(self) -> bytes:
+        if not self.peaks:
+            return digest(b"")
+        out = self.peaks[-1]
+        for left in reversed(self.peaks[:-1]):
+            out = digest(b"\1" + left + out)
+        return out
+
+
 @cache
 def _shifts() -> np.ndarray:
     """Tables (power, byte, value): what a CRC-32 becomes when 2 ** power zero bytes follow, byte by byte of the CRC."""
@@ -214,15 +247,14 @@ def _stage(df: DataFrame, id_col: str, text_col: str, path: str | None) -> DataF
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's chunks once each, and all its recipes."""
-    seen: set[bytes] = set()
+    """Of rows sorted by kind and key: chunks once each, and all recipes."""
+    before = None
     for batch in batches:
         keep = []
         for i, (kind, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            if kind == "recipe" or key not in seen:
+            if kind == "recipe" or key != before:
                 keep.append(i)
-                if kind == "chunk":
-                    seen.add(key)
+            before = key if kind == "chunk" else None
         yield batch.take(pa.array(keep, pa.int64()))
 
 
@@ -231,23 +263,24 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     staged = _stage(df, id_col, text_col, path)
     # chunks meet by digest; recipes by row, so that neither a common chunk nor a common text gathers rows
-    dealt = staged.repartition(F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64("_row")))
+    dealt = staged.repartition(F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64("_row"))).sortWithinPartitions("kind", "key")
     dealt.mapInArrow(_first_of_each, staged.schema).write.options(compression="zstd", **{"parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"}).partitionBy("kind").parquet(f"{folder}/staged")
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Recipes with their places, then a manifest: root over the file's document roots, row count in _row."""
         from pyspark import TaskContext
 
-        part, at, roots, names = TaskContext.get().partitionId(), 0, [], None
+        part, at, roots, names = TaskContext.get().partitionId(), 0, Merkle(), None
         for batch in batches:
             counts = np.array(batch.column(1).to_pylist(), np.int64)
             begin = at + np.cumsum(counts) - counts
             at += int(counts.sum())
-            roots += batch.column(2).to_pylist()
+            for x in batch.column(2).to_pylist():
+                roots.add(x)
             names, id_type = batch.schema.names, batch.schema.field(0).type
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(counts), part, np.int32)), pa.array(begin), pa.array(["recipe"] * len(counts))], names=[*names, "part", "local_start", "kind"])
         if names:
-            row = [pa.nulls(1, id_type), pa.array([at], pa.int64()), pa.array([merkle(b"".join(roots))], pa.binary()), pa.nulls(1, pa.binary()), pa.array([len(roots)], pa.int64()), pa.array([part], pa.int32()), pa.array([0], pa.int64()), pa.array(["manifest"])]
+            row = [pa.nulls(1, id_type), pa.array([at], pa.int64()), pa.array([roots.root()], pa.binary()), pa.nulls(1, pa.binary()), pa.array([roots.n], pa.int64()), pa.array([part], pa.int32()), pa.array([0], pa.int64()), pa.array(["manifest"])]
             yield pa.RecordBatch.from_arrays(row, names=[*names, "part", "local_start", "kind"])
 
     recipes = spark.read.schema(staged.schema).parquet(f"{folder}/staged").filter("kind = 'recipe'").select(F.col("_id").alias("id"), F.col("n").alias("n_tokens"), F.col("key").alias("root"), F.col("payload").alias("entries"), "_row")
@@ -258,11 +291,22 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
 def check_manifests(recipes: DataFrame, manifests: DataFrame) -> list:
     """Manifest rows by part, after each has been held against the roots of its file's recipes, in order."""
 
-    def root_of(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("local_start", "ascending"), ("_row", "ascending")])
-        return pa.table({"part": group.column("part").slice(0, 1), "found": pa.array([merkle(b"".join(group.column("root").to_pylist()))], pa.binary()), "rows": pa.array([group.num_rows], pa.int64())})
-
-    found = recipes.select("part", "local_start", "_row", "root").groupBy("part").applyInArrow(root_of, "part int, found binary, rows long")
+    def roots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by part and place: the root of each part."""
+        part, tree = None, Merkle()
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([tree.root()], pa.binary()), pa.array([tree.n], pa.int64())], names=["part", "found", "rows"])
+        for batch in batches:
+            for p, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if p != part:
+                    if tree.n:
+                        yield done()
+                    part, tree = p, Merkle()
+                tree.add(root)
+        if tree.n:
+            yield done()
+
+    ordered = recipes.select("part", "root", "local_start").repartition("part").sortWithinPartitions("part", "local_start")
+    found = ordered.select("part", "root").mapInArrow(roots_of, "part int, found binary, rows long")
     rows = manifests.join(found, "part", "left").orderBy("part").collect()  # a row a file
     for r in rows:
         if r["found"] != r["root"] or r["rows"] != r["_row"]:

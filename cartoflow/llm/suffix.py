@@ -16,10 +16,14 @@ with a smaller id is removed.
    the shards' sorted strings.  Each string gets the least id that has it.
 4. Blocks take the runs back and remove what has a smaller id.
 
-Strings are judged on the input.  Null text counts as empty.  Rows with a null
-id neither lose bytes nor cause it.  Rows that repeat an id are not smaller
-than each other.  Other columns are left out; an empty table gives an empty
-result.
+A hot anchor, one with more than HOT_RUNS distinct runs, would gather them in
+one shard.  Its runs are cut into single strings, which go by their own hash, so
+that equal strings still meet and the anchor is spread over all ranges.
+
+Strings are judged on the input.  Null text counts as empty.  A very long text
+is hashed SLICE_BYTES at a time.  Rows with a null id neither lose bytes nor
+cause it, and go past the shards.  Rows that repeat an id are not smaller than
+each other.  Other columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,6 +49,8 @@ SLICE_BYTES = 1 << 20
 SHARD_BYTES = 1 << 20
 #: Text bytes of the runs that a range works through at once.
 PASS_BYTES = 16 << 20
+#: Distinct runs of an anchor beyond which it is hot; blocks tell them as a power of two.
+HOT_RUNS = 1 << 16
 #: Strings of a run that are sent together at most.
 MOST_RUN = 256
 #: Bytes by which ranks start, and stretches of text in which common prefixes are found side by side.
@@ -91,8 +97,8 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tup
     least = least_of(gram_hashes(data), length - K + 1)
     inside = np.ones(len(least) + 1, bool)
     inside[-1] = False
-    for end in ends:
-        inside[max(0, end - length + 1) : end] = False
+    for end in ends[ends < len(data) + length - 1]:
+        inside[max(0, end - length + 1) : max(0, end)] = False
     change = np.ones(len(least) + 1, bool)
     change[1:-1] = (least[1:] != least[:-1]) | (inside[1:-1] != inside[:-2])
     at = np.flatnonzero(change)
@@ -113,24 +119,19 @@ class Block:
     def __init__(self, table: pa.Table) -> None:
         table = table.sort_by([("_id", "ascending"), ("_text", "ascending")])
         self.ids = table.column("_id")
-        self.texts = [x.encode() for x in table.column("_text").to_pylist()]
-        sizes = np.array([len(x) for x in self.texts], np.int64)
-        self.ends = np.cumsum(sizes)
-        self.data = np.frombuffer(b"".join(self.texts), np.uint8)
-        # documents by rank of id; -1 for null
-        values = np.array(self.ids.fill_null(0).to_pylist(), np.int64)
-        self.doc_ids = values
-        valid = np.array(self.ids.is_valid().to_pylist(), bool)
+        texts = [x.encode() for x in table.column("_text").to_pylist()]
+        self.ends = np.cumsum(np.array([len(x) for x in texts], np.int64))
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        self.doc_ids = np.array(self.ids.to_pylist(), np.int64)
         starts, counts, anchors, docs = [], [], [], []
-        for first, last in slices(sizes.tolist(), SLICE_BYTES):
-            offset = self.ends[first] - sizes[first]
-            at, n, a = anchor_runs(self.data[offset : self.ends[last - 1]], self.ends[first:last] - offset)
-            of = np.searchsorted(self.ends, at + offset, side="right")
-            keep = valid[of]
-            starts.append((at + offset)[keep])
-            counts.append(n[keep])
-            anchors.append(a[keep])
-            docs.append(of[keep])
+        for offset in range(0, len(self.data), SLICE_BYTES):  # strings that start here, whatever texts they are of
+            stop = min(len(self.data), offset + SLICE_BYTES + LENGTH - 1)
+            first, last = np.searchsorted(self.ends, [offset + 1, stop], side="left")
+            at, n, a = anchor_runs(self.data[offset:stop], self.ends[first : last + 1] - offset)
+            starts.append(at + offset)
+            counts.append(n)
+            anchors.append(a)
+            docs.append(np.searchsorted(self.ends, at + offset, side="right"))
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.starts, self.counts, self.anchors, self.docs = join(starts, np.int64), join(counts, np.int64), join(anchors, np.uint64), join(docs, np.int64)
 
@@ -174,7 +175,7 @@ TAG = np.uint64((1 << 8 * TAG_BYTES) - 1)
 
 
 def send_anchors(block: Block, ranges: int) -> list[tuple[int, bytes]]:
-    """For each anchor range: the block's distinct anchors, sorted, and whether two documents of the block hold each."""
+    """For each anchor range: the block's distinct anchors, sorted, whether two documents of the block hold each, and its runs as a power of two."""
     to = range_of(block.anchors, ranges)
     tags = block.anchors & TAG
     order = np.lexsort((block.docs, tags, to))
@@ -186,67 +187,109 @@ def send_anchors(block: Block, ranges: int) -> list[tuple[int, bytes]]:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(to)) - 1
     several = ids[first] != ids[last]
+    power = np.ceil(np.log2(last - first + 1)).astype(np.uint8)
     to, tags = to[first], tags[first]
     cuts = np.searchsorted(to, np.arange(ranges + 1))
-    return [(r, _pack(_planes(tags[a:b], TAG_BYTES), np.packbits(several[a:b]))) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+    return [(r, _pack(_planes(tags[a:b], TAG_BYTES), np.packbits(several[a:b]), power[a:b])) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
 
 
-def find_shared(blobs: list[bytes]) -> list[bytes]:
-    """For each blob, packed bits: is its anchor in two documents or more?"""
-    each = [_unpack(x, "u1", "u1") for x in blobs]
-    tags = [_from_planes(p, TAG_BYTES) for p, _ in each]
-    own = [np.unpackbits(b, count=len(t)).astype(bool) for t, (_, b) in zip(tags, each, strict=True)]
-    everything = np.sort(np.concatenate(tags))
-    twice = np.unique(everything[1:][everything[1:] == everything[:-1]])
-    out = []
+def find_shared(blobs: list[bytes], hot_runs: int = HOT_RUNS) -> list[bytes]:
+    """For each blob, two rows of packed bits: is its anchor in two documents or more, and is it hot?"""
+    each = [_unpack(x, "u1", "u1", "u1") for x in blobs]
+    tags = [_from_planes(p, TAG_BYTES) for p, _, _ in each]
+    own = [np.unpackbits(b, count=len(t)).astype(bool) for t, (_, b, _) in zip(tags, each, strict=True)]
+    distinct, of, blocks = np.unique(np.concatenate(tags), return_inverse=True, return_counts=True)
+    runs = np.bincount(of, weights=np.exp2(np.concatenate([p for _, _, p in each]).astype(float)), minlength=len(distinct))
+    out, at = [], 0
     for t, several in zip(tags, own, strict=True):
-        at = np.minimum(np.searchsorted(twice, t), max(len(twice) - 1, 0))
-        out.append(np.packbits(several | ((twice[at] == t) if len(twice) else False)).tobytes())
+        mine = of[at : at + len(t)]
+        out.append(np.packbits(np.stack([several | (blocks[mine] > 1), runs[mine] > hot_runs]), axis=1).tobytes())
+        at += len(t)
     return out
 
 
 # --- runs of strings
 
 
-def shared_runs(block: Block, answers: dict[int, bytes], ranges: int) -> np.ndarray:
-    """Places of the runs whose anchor two documents hold, by the answers to send_anchors."""
+def shared_runs(block: Block, answers: dict[int, bytes], ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the runs whose anchor two documents hold, and which of them are hot, by the answers to send_anchors."""
     to = range_of(block.anchors, ranges)
     tags = block.anchors & TAG
-    keep = np.zeros(len(to), bool)
+    keep, hot = np.zeros(len(to), bool), np.zeros(len(to), bool)
     order = np.lexsort((tags, to))
     cuts = np.searchsorted(to[order], np.arange(ranges + 1))
     for r, packed in answers.items():
         mine = order[cuts[r] : cuts[r + 1]]
         distinct, of = np.unique(tags[mine], return_inverse=True)
-        keep[mine] = np.unpackbits(np.frombuffer(packed, np.uint8), count=len(distinct)).astype(bool)[of]
-    return np.flatnonzero(keep)
+        bits = np.unpackbits(np.frombuffer(packed, np.uint8).reshape(2, -1), axis=1, count=len(distinct)).astype(bool)
+        keep[mine], hot[mine] = bits[0][of], bits[1][of]
+    runs = np.flatnonzero(keep)
+    return runs, hot[runs]
+
 
+class Routed:
+    """Runs of a block in the order of the ranges that they go to: start, strings, document, and the number they go by.
 
-def distinct_runs(block: Block, runs: np.ndarray, ranges: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+    That is the anchor; of a hot anchor, whose runs are cut into single strings,
+    the string's hash.
+    """
+
+    def __init__(self, block: Block, runs: np.ndarray, hot: np.ndarray, ranges: int) -> None:
+        whole, apart = runs[~hot], runs[hot]
+        counts = block.counts[apart]
+        single = spread(block.starts[apart], counts)
+        starts = np.concatenate([block.starts[whole], single])
+        self.block = block
+        keys = np.concatenate([block.anchors[whole], string_hashes(block.data, single)])
+        to = range_of(keys, ranges)
+        order = np.argsort(to, kind="stable")
+        self.starts, self.keys = starts[order], keys[order]
+        self.counts = np.concatenate([block.counts[whole], np.ones(len(single), np.int64)])[order]
+        self.docs = np.concatenate([block.docs[whole], np.repeat(block.docs[apart], counts)])[order]
+        to = to[order]
+        self.ranges = np.unique(to)  # those that have runs
+        self.cuts = np.append(np.searchsorted(to, self.ranges), len(to))
+
+    def of(self, r: int) -> slice:
+        place = int(np.searchsorted(self.ranges, r))
+        return slice(int(self.cuts[place]), int(self.cuts[place + 1]))
+
+
+def string_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hash of the LENGTH bytes from each start on."""
+    out = np.zeros(len(starts), np.uint64)
+    words = np.zeros(-(-LENGTH // 8) * 8, np.uint8)
+    for at in range(0, len(starts), SLICE_BYTES // 16):
+        own = starts[at : at + SLICE_BYTES // 16]
+        padded = np.tile(words, (len(own), 1))
+        padded[:, :LENGTH] = data[own[:, None] + np.arange(LENGTH)[None, :]]
+        mixed = np.zeros(len(own), np.uint64)
+        for column in padded.view("<u8").T:
+            mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        out[at : at + len(own)] = mixed
+    return out
+
+
+def distinct_runs(routed: Routed) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
     """For each run, its number within its range, and for each range the distinct runs:
-    bytes, strings in each, anchor bits, and least and greatest id that holds it."""
-    to = range_of(block.anchors[runs], ranges)
-    whole = block.data.tobytes()
-    numbers = np.zeros(len(runs), np.int64)
-    known: list[dict[bytes, int]] = [{} for _ in range(ranges)]
-    kept: list[list[int]] = [[] for _ in range(ranges)]
-    for i, (start, count, r) in enumerate(zip(block.starts[runs].tolist(), block.counts[runs].tolist(), to.tolist(), strict=True)):
-        text = whole[start : start + count + LENGTH - 1]
-        number = known[r].setdefault(text, len(known[r]))
-        if number == len(kept[r]):
-            kept[r].append(i)
-        numbers[i] = number
-    out = []
-    for r in range(ranges):
-        if not kept[r]:
-            continue
-        mine = np.flatnonzero(to == r)
-        ids = block.doc_ids[block.docs[runs[mine]]]
-        low, high = np.full(len(kept[r]), np.iinfo(np.int64).max), np.full(len(kept[r]), np.iinfo(np.int64).min)
+    bytes, strings in each, bits of the number they go by, and least and greatest id that holds it."""
+    block, whole = routed.block, routed.block.data.tobytes()
+    numbers, out = np.zeros(len(routed.starts), np.int64), []
+    for r in routed.ranges.tolist():
+        mine = routed.of(r)
+        known: dict[bytes, int] = {}
+        kept: list[int] = []
+        for i, (start, count) in enumerate(zip(routed.starts[mine].tolist(), routed.counts[mine].tolist(), strict=True), mine.start):
+            number = known.setdefault(whole[start : start + count + LENGTH - 1], len(known))
+            if number == len(kept):
+                kept.append(i)
+            numbers[i] = number
+        ids = block.doc_ids[routed.docs[mine]]
+        low, high = np.full(len(kept), np.iinfo(np.int64).max), np.full(len(kept), np.iinfo(np.int64).min)
         np.minimum.at(low, numbers[mine], ids)
         np.maximum.at(high, numbers[mine], ids)
-        first = runs[kept[r]]
-        out.append((r, _pack(np.frombuffer(b"".join(known[r]), np.uint8), block.counts[first].astype("<u2"), (block.anchors[first] >> np.uint64(32)).astype("<u4"), low, high)))
+        out.append((r, _pack(np.frombuffer(b"".join(known), np.uint8), routed.counts[kept].astype("<u2"), (routed.keys[kept] >> np.uint64(32)).astype("<u4"), low, high)))
     return numbers, out
 
 
@@ -494,31 +537,32 @@ def answer_runs(blobs: list[bytes], shard_bytes: int = SHARD_BYTES, pass_bytes:
 # --- the operator
 
 
-def remove(block: Block, runs: np.ndarray, numbers: np.ndarray, answers: dict[int, bytes], ranges: int) -> np.ndarray:
+def remove(routed: Routed, numbers: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
     """For each byte of the block: is it to go?"""
+    block = routed.block
     depth = np.zeros(len(block.data) + 1, np.int32)
-    to = range_of(block.anchors[runs], ranges)
     for r, blob in answers.items():
         run, offset, count, low = _unpack(blob, "<u4", "<u4", "<u4", "i8")
         if not len(run):
             continue
-        mine = np.flatnonzero(to == r)
+        mine = routed.of(r)
         first, last = np.searchsorted(run, numbers[mine]), np.searchsorted(run, numbers[mine], side="right")
         n = last - first
-        own = np.repeat(mine, n)
+        own = np.repeat(np.arange(mine.start, mine.stop), n)
         at = spread(first, n)
-        goes = low[at] < block.doc_ids[block.docs[runs[own]]]
+        goes = low[at] < block.doc_ids[routed.docs[own]]
         own, at = own[goes], at[goes]
-        start = block.starts[runs[own]] + offset[at]
+        start = routed.starts[own] + offset[at]
         np.add.at(depth, start, 1)
         np.add.at(depth, start + count[at] + LENGTH - 1, -1)
     return np.cumsum(depth[:-1]) > 0
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hot_runs: int = HOT_RUNS) -> DataFrame:
     """``id_col``, n_bytes, n_removed, n_spans, kept (binary) of each row.  ``id_col`` is an integer."""
     id_type = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
+    given = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
+    rows = given.filter("_id is not null")
     total = rows.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     ranges = max(1, -(-blocks // BLOCKS_A_RANGE))
@@ -529,18 +573,18 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_b
         return pa.table({"_range": pa.array([r for r, _ in sent], pa.int32()), "_block": pa.array([table.column("_block")[0].as_py()] * len(sent), pa.int32()), "blob": pa.array([b for _, b in sent], pa.binary())})
 
     def shared(table: pa.Table) -> pa.Table:
-        return table.set_column(2, "blob", pa.array(find_shared(table.column("blob").to_pylist()), pa.binary()))
+        return table.set_column(2, "blob", pa.array(find_shared(table.column("blob").to_pylist(), hot_runs), pa.binary()))
 
     def answered(table: pa.Table) -> dict[int, bytes]:
         return dict(zip(table.column("_range").to_pylist(), table.column("blob").to_pylist(), strict=True))
 
-    def runs_of(texts: pa.Table, flags: pa.Table) -> tuple[Block, np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
+    def runs_of(texts: pa.Table, flags: pa.Table) -> tuple[Routed, np.ndarray, list[tuple[int, bytes]]]:
         block = Block(texts)
-        runs = shared_runs(block, answered(flags), ranges)
-        return block, runs, *distinct_runs(block, runs, ranges)
+        routed = Routed(block, *shared_runs(block, answered(flags), ranges), ranges)
+        return routed, *distinct_runs(routed)
 
     def cut(texts: pa.Table, flags: pa.Table) -> pa.Table:
-        sent = runs_of(texts, flags)[3] if texts.num_rows else []
+        sent = runs_of(texts, flags)[2] if texts.num_rows else []
         here = texts.column("_block")[0].as_py() if texts.num_rows else None
         return pa.table({"_range": pa.array([r for r, _ in sent], pa.int32()), "_block": pa.array([here] * len(sent), pa.int32()), "blob": pa.array([b for _, b in sent], pa.binary())})
 
@@ -552,8 +596,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_b
             return done.empty_table()
         kind = back.column("kind").to_pylist()
         pick = lambda k: back.filter(pa.array([x == k for x in kind], pa.bool_()))
-        block, runs, numbers, _ = runs_of(texts, pick("anchors"))
-        gone = remove(block, runs, numbers, answered(pick("runs")), ranges)
+        routed, numbers, _ = runs_of(texts, pick("anchors"))
+        block, gone = routed.block, remove(routed, numbers, answered(pick("runs")))
         out, start = [], 0
         for end in block.ends.tolist():
             own = gone[start:end]
@@ -570,7 +614,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_b
     found = by_block.cogroup(flags.groupBy("_block")).applyInArrow(cut, routed).groupBy("_range").applyInArrow(answer, routed)
     back = flags.withColumn("kind", F.lit("anchors")).unionByName(found.withColumn("kind", F.lit("runs")))
     out = by_block.cogroup(back.groupBy("_block")).applyInArrow(finish, "_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumn("_id", F.col("_id").cast(id_type)).withColumnRenamed("_id", id_col)
+    past = given.filter("_id is null").select("_id", F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("_text").cast("binary").alias("kept"))
+    return out.unionByName(past).withColumn("_id", F.col("_id").cast(id_type)).withColumnRenamed("_id", id_col)
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,11 +136,11 @@ def passages(n, seed):
     return ["".join(rng.choice((rng.choice(stock), "".join(rng.choice("ghijkl ") for _ in range(rng.randrange(60))))) for _ in range(rng.randrange(8))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 4000])
-def test_removal_against_brute_force(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "hot_runs"), [(8 << 20, suffix.HOT_RUNS), (4000, suffix.HOT_RUNS), (4000, 1), (4000, 20)])
+def test_removal_against_brute_force(spark, block_bytes, hot_runs):
     rows = [(i * 37 % 211, t) for i, t in enumerate([None, "", *passages(120, 3)])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_bytes string")
-    got = {r.doc_id: tuple(r)[1:] for r in suffix.dedup(df, block_bytes=block_bytes).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in suffix.dedup(df, block_bytes=block_bytes, hot_runs=hot_runs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
     assert got == suffix.brute_force(rows)
 
 
@@ -153,13 +153,41 @@ def test_small_shards_and_passes_are_merged():
     block = suffix.Block(table)
     sent = suffix.send_anchors(block, 1)
     flags = {r: suffix.find_shared([b])[0] for r, b in sent}
-    runs = suffix.shared_runs(block, flags, 1)
-    _, out = suffix.distinct_runs(block, runs, 1)
+    _, out = suffix.distinct_runs(suffix.Routed(block, *suffix.shared_runs(block, flags, 1), 1))
     whole = suffix.answer_runs([out[0][1]])
     assert suffix.answer_runs([out[0][1]], shard_bytes=300) == whole
     assert suffix.answer_runs([out[0][1]], pass_bytes=2000) == whole
 
 
+def test_slices_of_long_texts(monkeypatch):
+    """What a block finds does not depend on where its bytes are cut."""
+    import pyarrow as pa
+
+    table = pa.table({"_id": pa.array(range(60), pa.int64()), "_text": pa.array(passages(60, 6))})
+
+    def strings():
+        b = suffix.Block(table)
+        return sorted((s + k, int(a), int(d)) for s, n, a, d in zip(b.starts, b.counts, b.anchors, b.docs, strict=True) for k in range(n))
+
+    whole = strings()
+    for size in (50, 64, 333):
+        monkeypatch.setattr(suffix, "SLICE_BYTES", size)
+        assert strings() == whole
+
+
+def test_crowded_blocks_in_parts():
+    """Pairs of one block's parts tie what the whole block does; copies around a leader, chains and strangers."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    near = [b ^ (np.uint64(1) << np.uint64(i)) ^ (np.uint64(1) << np.uint64(j)) for b in base for i in range(20) for j in range(i)]
+    fps = np.unique(np.concatenate([np.array(near, np.uint64), rng.integers(0, 1 << 63, 200, dtype=np.uint64)]))
+    u, v = simhash.close_pairs(np.zeros(len(fps), np.int64), fps)
+    place = {int(x): i for i, x in enumerate(fps)}
+    got = simhash.components_of(len(fps), np.array([place[int(x)] for x in u]), np.array([place[int(x)] for x in v]))
+    expected = classes([int(x) for x in fps], lambda a, b: (a ^ b).bit_count() <= 4)
+    assert got.tolist() == expected
+
+
 def test_repeated_and_null_ids(spark):
     text = "".join(random.Random(5).choice("abcdefgh ") for _ in range(200))
     df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
