@@ -162,14 +162,14 @@ def describe(data: bytes) -> tuple:
     pixels = decode(data)
     payload = pixels.tobytes()
     tile = npy_tile(pixels)
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{difference_hash(pixels):016x}", tile
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{difference_hash(pixels):016x}:{zlib.crc32(tile):08x}", tile
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tile binary"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
 
 
 def features(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Of ``id_col``, n_bytes, media: both columns, the payload's and the image's digests, dhash (the difference hash) and the NPY tile."""
+    """Of ``id_col``, n_bytes, media: both columns, the payload's and the image's digests, feature (difference hash, CRC of the tile) and the NPY tile."""
     full = StructType.fromDDL(f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes long, {FEATURES}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,14 +194,15 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """What ``write`` stored, and feature: the difference hash and the CRC of the NPY tile, as read back."""
-    return spark.read.parquet(f"{folder}/tiles").withColumn("feature", F.concat_ws(":", "dhash", F.lower(F.lpad(F.hex(F.crc32("tile")), 8, "0"))))
+    """What ``write`` stored; the CRC in feature is that of the NPY tile as read back."""
+    crc = F.lower(F.lpad(F.hex(F.crc32("tile")), 8, "0"))
+    return spark.read.parquet(f"{folder}/tiles").withColumn("feature", F.concat(F.substring_index("feature", ":", 1), F.lit(":"), crc))
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "media")
     write(documents(spark, sf_dir), folder)
-    return read(spark, folder).drop("dhash", "tile")
+    return read(spark, folder).drop("tile")
 
 
 QUERIES = {"op7_media": op7_media}

@@ -25,7 +25,7 @@ IBAN_LENGTHS = "NO15 BE16 DK18 FI18 FK18 FO18 GL18 NL18 SD18 MK19 SI19 AT20 BA20
 
 
 def national() -> str:
-    """Pattern of account numbers of their country's length, in one piece or with single spaces; not inside a longer word."""
+    """Pattern of account numbers of their country's length, in one piece or with single spaces."""
     by_length: dict[int, list[str]] = {}
     for x in IBAN_LENGTHS.split():
         by_length.setdefault(int(x[2:]), []).append(x[:2])
@@ -81,10 +81,14 @@ def valid_account(x: Column) -> Column:
 
 
 def edged(text: Column, spans: Column) -> Column:
-    """Those of ``spans`` that no ASCII letter or digit stands next to."""
+    """Those of ``spans`` that end their run of capitals and digits, or that no ASCII letter or digit stands next to."""
     word = lambda c: F.rlike(c, F.lit("[A-Za-z0-9]"))
-    outside = lambda of: F.filter(spans, lambda x: ~word(cut(of, F.greatest(x["s"] - 1, F.lit(0)), x["s"])) & ~word(cut(of, x["e"], x["e"] + 1)))
-    return F.when(F.size(spans) == 0, spans).otherwise(let(pieces(text), outside))
+
+    def stands(of: Column, x: Column) -> Column:
+        after = cut(of, x["e"], x["e"] + 2)
+        return ~F.rlike(after, F.lit(r"^\x20?[A-Z0-9]")) | ~word(cut(of, F.greatest(x["s"] - 1, F.lit(0)), x["s"])) & ~word(F.substring(after, 1, 1))
+
+    return F.when(F.size(spans) == 0, spans).otherwise(let(pieces(text), lambda of: F.filter(spans, lambda x: stands(of, x))))
 
 
 def context(kind: str) -> str:
@@ -146,7 +150,7 @@ def _sql() -> str:
     turned = f"(substr({plain}, 5) || substr({plain}, 1, 4))"
     mod97 = f"list_reduce(list_prepend(0::bigint, list_transform(string_split({turned}, ''), lambda c: (ascii(c) - 48)::bigint)), lambda a, b: case when b < 10 then (a * 10 + b) % 97 else (a * 100 + b - 7) % 97 end) = 1"
     near = lambda k: f"regexp_matches(substr(t, greatest(0, x.s - {WINDOW}) + 1, x.s + length(x.m) + {WINDOW} - greatest(0, x.s - {WINDOW})), '{context(k)}')"
-    edges = "not regexp_matches(case when x.s > 0 then substr(t, x.s, 1) else '' end || substr(t, x.s + length(x.m) + 1, 1), '[A-Za-z0-9]')"
+    edges = r"(not regexp_matches(substr(t, x.s + length(x.m) + 1, 2), '^\x20?[A-Z0-9]') or not regexp_matches(case when x.s > 0 then substr(t, x.s, 1) else '' end || substr(t, x.s + length(x.m) + 1, 1), '[A-Za-z0-9]'))"
     ok = lambda k: f"{BASE_SCORE[k]} + case when {near(k)} then {BONUS} else 0.0 end >= {THRESHOLD}"
     found = {
         "email": _sql_spans(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
