@@ -46,38 +46,38 @@ def outcode(lat: Column, lon: Column) -> Column:
     return x + y
 
 
-def _clip_round(end: Column, codes: Column) -> Column:
-    """Move one end of a segment to the border that its outcode names first: top, bottom, right, left."""
-    lat1, lon1, lat2, lon2 = (end[c] for c in ("lat1", "lon1", "lat2", "lon2"))
-    out = F.when(codes["a"] != 0, codes["a"]).otherwise(codes["b"])
-    at_lat = lambda b: lon1 + (lon2 - lon1) * (F.col(b) - lat1) / F.nullif(lat2 - lat1, F.lit(0.0))
-    at_lon = lambda b: lat1 + (lat2 - lat1) * (F.col(b) - lon1) / F.nullif(lon2 - lon1, F.lit(0.0))
-    top, bottom, right = (out.bitwiseAND(F.lit(b)) != 0 for b in (8, 4, 2))
-    point = (
-        F.when(top, F.struct(F.col("max_lat").alias("lat"), at_lat("max_lat").alias("lon")))
-        .when(bottom, F.struct(F.col("min_lat").alias("lat"), at_lat("min_lat").alias("lon")))
-        .when(right, F.struct(at_lon("max_lon").alias("lat"), F.col("max_lon").alias("lon")))
-        .otherwise(F.struct(at_lon("min_lon").alias("lat"), F.col("min_lon").alias("lon")))
+def _clip_round(df: DataFrame) -> DataFrame:
+    """Move one end of a segment to the border that its outcode names first: top, bottom, right, left; ends on one side of the box stay."""
+    at_lat = lambda b: F.col("lon1") + (F.col("lon2") - F.col("lon1")) * (F.col(b) - F.col("lat1")) / F.nullif(F.col("lat2") - F.col("lat1"), F.lit(0.0))
+    at_lon = lambda b: F.col("lat1") + (F.col("lat2") - F.col("lat1")) * (F.col(b) - F.col("lon1")) / F.nullif(F.col("lon2") - F.col("lon1"), F.lit(0.0))
+    df = df.withColumns({"_a": outcode(F.col("lat1"), F.col("lon1")), "_b": outcode(F.col("lat2"), F.col("lon2"))})
+    df = df.withColumn("_o", F.when(F.col("_a").bitwiseAND(F.col("_b")) != 0, 0).when(F.col("_a") != 0, F.col("_a")).otherwise(F.col("_b")))
+    top, bottom, right = (F.col("_o").bitwiseAND(F.lit(b)) != 0 for b in (8, 4, 2))
+    df = df.withColumns(
+        {
+            "_y": F.when(top, F.col("max_lat")).when(bottom, F.col("min_lat")).when(right, at_lon("max_lon")).when(F.col("_o") != 0, at_lon("min_lon")),
+            "_x": F.when(top, at_lat("max_lat")).when(bottom, at_lat("min_lat")).when(right, F.col("max_lon")).when(F.col("_o") != 0, F.col("min_lon")),
+        }
     )
-    ends = lambda a, b, c, d: F.struct(a.alias("lat1"), b.alias("lon1"), c.alias("lat2"), d.alias("lon2"))
-    moved = let(point, lambda p: F.when(codes["a"] != 0, ends(p["lat"], p["lon"], lat2, lon2)).otherwise(ends(lat1, lon1, p["lat"], p["lon"])))
-    return F.when((codes["a"] == 0) & (codes["b"] == 0) | (codes["a"].bitwiseAND(codes["b"]) != 0), end).otherwise(moved)
+    first, second = (F.col("_o") != 0) & (F.col("_a") != 0), (F.col("_o") != 0) & (F.col("_a") == 0)
+    moved = {"lat1": (first, "_y"), "lon1": (first, "_x"), "lat2": (second, "_y"), "lon2": (second, "_x")}
+    return df.withColumns({c: F.when(w, F.col(v)).otherwise(F.col(c)) for c, (w, v) in moved.items()}).drop("_a", "_b", "_o", "_y", "_x")
 
 
 def clip_segments(df: DataFrame) -> DataFrame:
     """Rows with lat1, lon1, lat2, lon2 clipped to their box; rows outside go.
 
-    The rounds are one fold over the ends, so that no round's expression is
-    copied into the next when Catalyst merges projections.
+    A round is a few columns in generated code; rows that are settled pass a
+    round by comparisons alone.  ``explode`` ends the chain, so that no filter on
+    the last round's columns is pushed back through all rounds.
     """
-    codes = lambda e: F.struct(outcode(e["lat1"], e["lon1"]).alias("a"), outcode(e["lat2"], e["lon2"]).alias("b"))
-    # ends on one side of the box are told apart in generated code, before the fold
+    df = df.withColumns({c: F.col(c).cast("double") for c in ("lat1", "lon1", "lat2", "lon2")})
+    # ends on one side of the box are told apart before the rounds
     df = df.filter(outcode(F.col("lat1"), F.col("lon1")).bitwiseAND(outcode(F.col("lat2"), F.col("lon2"))) == 0)
-    start = F.struct(*(F.col(c).cast("double").alias(c) for c in ("lat1", "lon1", "lat2", "lon2")))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(CLIP_ROUNDS)), start, lambda e, _: let(codes(e), lambda c: _clip_round(e, c)))
-    inside = let(done, lambda e: let(codes(e), lambda c: F.when((c["a"] == 0) & (c["b"] == 0), e)))
-    kept = df.withColumn("_e", F.explode(F.filter(F.array(inside), lambda e: e.isNotNull())))
-    return kept.withColumns({c: F.col(f"_e.{c}") for c in ("lat1", "lon1", "lat2", "lon2")}).drop("_e")
+    for _ in range(CLIP_ROUNDS):
+        df = _clip_round(df)
+    inside = (outcode(F.col("lat1"), F.col("lon1")) == 0) & (outcode(F.col("lat2"), F.col("lon2")) == 0)
+    return df.withColumn("_in", F.explode(F.when(inside, F.array(F.lit(1))))).drop("_in")
 
 
 def _clip_edge(points: Column, axis: str, bound: Column, keep_above: bool) -> Column:

@@ -11,6 +11,8 @@ from ..functions import classify, geometry, grid
 from .graph_etl import way_segments
 
 SIZE = TILE_SIZE_DEG[2]
+#: Degrees by which the bounds of what a segment may touch are widened.
+MARGIN = 1e-7
 
 
 def way_points(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -38,9 +40,28 @@ def segment_tiles(segs: DataFrame) -> DataFrame:
     return segs.withColumn("tile_x", F.explode(grid.span(F.col("lon1"), F.col("lon2")))).withColumn("tile_y", F.explode(grid.span(F.col("lat1"), F.col("lat2"))))
 
 
+def crossed_tiles(segs: DataFrame) -> DataFrame:
+    """A row for each tile that a segment may touch: in each tile column only the tiles between where it enters and where it leaves.
+
+    Rows grow with the segment's length, not with the box around it.  Bounds are
+    widened by far more than rounding; clipping has the last word.
+    """
+    lat1, lon1, lat2, lon2 = (F.col(c) for c in ("lat1", "lon1", "lat2", "lon2"))
+    wide = segs.withColumn("tile_x", F.explode(grid.span(lon1, lon2)))
+    west, east = F.least(lon1, lon2), F.greatest(lon1, lon2)
+    slope = (lat2 - lat1) / F.nullif(lon2 - lon1, F.lit(0.0))
+    at = lambda lon: F.coalesce(lat1 + (lon - lon1) * slope, lat1)
+    enters = at(F.greatest(west, F.col("tile_x") * F.lit(SIZE) - MARGIN))
+    leaves = F.when(lon1 == lon2, lat2).otherwise(at(F.least(east, (F.col("tile_x") + 1) * F.lit(SIZE) + MARGIN)))
+    wide = wide.withColumns({"_from": enters, "_to": leaves})
+    low, high = grid.tile_index(F.least("_from", "_to") - MARGIN), grid.tile_index(F.greatest("_from", "_to") + MARGIN)
+    least, most = F.least(grid.tile_index("lat1"), grid.tile_index("lat2")), F.greatest(grid.tile_index("lat1"), grid.tile_index("lat2"))
+    return wide.withColumn("tile_y", F.explode(F.sequence(F.least(F.greatest(low, least), most), F.greatest(F.least(high, most), least)))).drop("_from", "_to")
+
+
 def clipped_segments(segs: DataFrame) -> DataFrame:
     """Segments cut to each tile that they touch, as 16-bit offsets x1, y1, x2, y2."""
-    cut = geometry.clip_segments(with_tile_box(segment_tiles(segs)))
+    cut = geometry.clip_segments(with_tile_box(crossed_tiles(segs)))
     off = lambda c, o: grid.to_offset(F.col(c), F.col(o))
     return cut.withColumns({"x1": off("lon1", "min_lon"), "y1": off("lat1", "min_lat"), "x2": off("lon2", "min_lon"), "y2": off("lat2", "min_lat")}).drop("min_lat", "max_lat", "min_lon", "max_lon", "lat1", "lon1", "lat2", "lon2")
 

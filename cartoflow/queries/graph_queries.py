@@ -268,7 +268,7 @@ def _nearest_sql(name: str, level: int, at: str) -> str:
     "hier_connectors",
     with_views(
         "query_points " + ETL,
-        f"""{LEVELS}, c as (select point_id as req_id, lat_micro as start_lat, lon_micro as start_lon, 47100000 + point_id * 31 % 40000 as end_lat, 8400000 + point_id * 17 % 50000 as end_lon from query_points where point_id < 200),
+        f"""{LEVELS}, c as (select point_id as req_id, lat_micro as start_lat, lon_micro as start_lon, 47100000 + point_id * 31 % 40000 as end_lat, 8400000 + point_id * 17 % 50000 as end_lon from query_points),
         {_nearest_sql('local_start', 2, 'start')}, {_nearest_sql('level_start', 1, 'start')}, {_nearest_sql('local_end', 2, 'end')}, {_nearest_sql('level_end', 1, 'end')}
         select * from local_start join level_start using (req_id) join local_end using (req_id) join level_end using (req_id)""",
     ),
