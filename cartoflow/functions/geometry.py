@@ -9,6 +9,8 @@ from ..constants import CLOSE_EPS
 
 #: Rounds of outcode clipping: each end is moved to two borders at most; two more settle rounding at a corner.
 CLIP_ROUNDS = 6
+#: Rounds as columns in generated code; more in one stage are too large for the compiler.
+COLUMN_ROUNDS = 2
 
 
 def let(value: Column, body) -> Column:
@@ -64,20 +66,44 @@ def _clip_round(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(w, F.col(v)).otherwise(F.col(c)) for c, (w, v) in moved.items()}).drop("_a", "_b", "_o", "_y", "_x")
 
 
+def _settled(end: Column) -> Column:
+    """The remaining rounds on struct<lat1,lon1,lat2,lon2> as one fold, for the few segments that need more than COLUMN_ROUNDS."""
+
+    def step(e: Column, a: Column, b: Column) -> Column:
+        lat1, lon1, lat2, lon2 = (e[c] for c in ("lat1", "lon1", "lat2", "lon2"))
+        out = F.when(a != 0, a).otherwise(b)
+        at_lat = lambda v: lon1 + (lon2 - lon1) * (F.col(v) - lat1) / F.nullif(lat2 - lat1, F.lit(0.0))
+        at_lon = lambda v: lat1 + (lat2 - lat1) * (F.col(v) - lon1) / F.nullif(lon2 - lon1, F.lit(0.0))
+        top, bottom, right = (out.bitwiseAND(F.lit(v)) != 0 for v in (8, 4, 2))
+        y = F.when(top, F.col("max_lat")).when(bottom, F.col("min_lat")).when(right, at_lon("max_lon")).otherwise(at_lon("min_lon"))
+        x = F.when(top, at_lat("max_lat")).when(bottom, at_lat("min_lat")).when(right, F.col("max_lon")).otherwise(F.col("min_lon"))
+        ends = lambda p, q, r, s: F.struct(p.alias("lat1"), q.alias("lon1"), r.alias("lat2"), s.alias("lon2"))
+        moved = F.when(a != 0, ends(y, x, lat2, lon2)).otherwise(ends(lat1, lon1, y, x))
+        return F.when((a == 0) & (b == 0) | (a.bitwiseAND(b) != 0), e).otherwise(moved)
+
+    codes = lambda e: F.struct(outcode(e["lat1"], e["lon1"]).alias("a"), outcode(e["lat2"], e["lon2"]).alias("b"))
+    return F.aggregate(F.sequence(F.lit(COLUMN_ROUNDS + 1), F.lit(CLIP_ROUNDS)), end, lambda e, _: let(codes(e), lambda c: step(e, c["a"], c["b"])))
+
+
 def clip_segments(df: DataFrame) -> DataFrame:
     """Rows with lat1, lon1, lat2, lon2 clipped to their box; rows outside go.
 
-    A round is a few columns in generated code; rows that are settled pass a
-    round by comparisons alone.  ``explode`` ends the chain, so that no filter on
-    the last round's columns is pushed back through all rounds.
+    The first rounds are columns in generated code, which settle nearly all
+    segments; only the others go through a fold.  ``explode`` ends the chain, so
+    that no filter on a round's columns is pushed back through all rounds.
     """
     df = df.withColumns({c: F.col(c).cast("double") for c in ("lat1", "lon1", "lat2", "lon2")})
     # ends on one side of the box are told apart before the rounds
     df = df.filter(outcode(F.col("lat1"), F.col("lon1")).bitwiseAND(outcode(F.col("lat2"), F.col("lon2"))) == 0)
-    for _ in range(CLIP_ROUNDS):
+    for _ in range(COLUMN_ROUNDS):
         df = _clip_round(df)
-    inside = (outcode(F.col("lat1"), F.col("lon1")) == 0) & (outcode(F.col("lat2"), F.col("lon2")) == 0)
-    return df.withColumn("_in", F.explode(F.when(inside, F.array(F.lit(1))))).drop("_in")
+    df = df.withColumns({"_a": outcode(F.col("lat1"), F.col("lon1")), "_b": outcode(F.col("lat2"), F.col("lon2"))})
+    end = F.struct("lat1", "lon1", "lat2", "lon2")
+    within = lambda e: (outcode(e["lat1"], e["lon1"]) == 0) & (outcode(e["lat2"], e["lon2"]) == 0)
+    open_ = (F.col("_a").bitwiseAND(F.col("_b")) == 0) & (F.col("_a") + F.col("_b") != 0)
+    df = df.withColumn("_rest", F.when(open_, F.filter(F.array(_settled(end)), within)))
+    kept = F.when((F.col("_a") == 0) & (F.col("_b") == 0), F.array(end)).otherwise(F.col("_rest"))
+    return df.withColumn("_e", F.explode(kept)).withColumns({c: F.col(f"_e.{c}") for c in ("lat1", "lon1", "lat2", "lon2")}).drop("_e", "_a", "_b", "_rest")
 
 
 def _clip_edge(points: Column, axis: str, bound: Column, keep_above: bool) -> Column:
