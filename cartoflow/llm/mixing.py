@@ -22,10 +22,14 @@ gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, text_or_empty, written
+from .spans import let
 
 OTHER = "other"
 SOURCE_TARGET = {f"src{i}": 0.0495 for i in range(20)} | {OTHER: 0.01}
@@ -33,12 +37,13 @@ LANG_TARGET = {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.09, OTHER: 0.01}
 TOPIC_TARGET = {"prose": 0.9, "table": 0.03, "notice": 0.03, "contact": 0.03, "code": 0.01}
 TARGETS = {"source": SOURCE_TARGET, "lang": LANG_TARGET, "topic": TOPIC_TARGET}
 ROUNDS = 40
-#: Topic: pattern of a text that has it, the first that matches; regular expressions that Java and RE2 read alike.
+#: Topic: strings of which the lower-cased text holds one, and a pattern that it then has, if any; the first topic that matches.
+#: Regular expressions that Java and RE2 read alike.
 TOPICS = {
-    "table": r" \| ",
-    "notice": r"(?i)licen[cs]e|copyright|rights reserved|warrant(?:y|ies)",
-    "contact": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.|\+[0-9][\x20().0-9-]{8}",
-    "code": r"(?i)(?:password|passwd|secret|token|api_?key)[\x20\"']*[:=]|AKIA[A-Z0-9]{16}",
+    "table": ([" | "], None),
+    "notice": (["license", "licence", "copyright", "rights reserved", "warranty", "warranties"], None),
+    "contact": (["@", "+"], r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.|\+[0-9][\x20().0-9-]{8}"),
+    "code": (["password", "passwd", "secret", "token", "api_key", "apikey", "akia"], r"(?i)(?:password|passwd|secret|token|api_?key)[\x20\"']*[:=]|AKIA[A-Z0-9]{16}"),
 }
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -48,10 +53,14 @@ def n_tokens(text: Column) -> Column:
 
 
 def topic(text: Column) -> Column:
-    out = F
-    for name, pattern in TOPICS.items():
-        out = out.when(F.rlike(text, F.lit(pattern)), name)
-    return out.otherwise("prose")
+    def found(low: Column) -> Column:
+        out = F
+        for name, (strings, pattern) in TOPICS.items():
+            held = reduce(or_, (F.contains(low, F.lit(x)) for x in strings))
+            out = out.when(held & F.rlike(text, F.lit(pattern)) if pattern else held, name)
+        return out.otherwise("prose")
+
+    return let(F.lower(text), found)
 
 
 def cell(column: Column, target: dict[str, float]) -> Column:
@@ -147,8 +156,8 @@ def _sql() -> str:
         )
         last = f"c{k + 1}"
     targets = ", ".join(f"t_{d}({d}, share) as (values " + ", ".join(f"('{v}', {x}::double)" for v, x in TARGETS[d].items()) + ")" for d in dims)
-    quoted = {k: v.replace("'", "''") for k, v in TOPICS.items()}
-    topics = " ".join(f"when regexp_matches(t, '{v}') then '{k}'" for k, v in quoted.items())
+    held = lambda strings: "(" + " or ".join(f"contains(lower(t), '{x}')" for x in strings) + ")"
+    topics = " ".join(f"when {held(strings)}" + (f""" and regexp_matches(t, '{pattern.replace("'", "''")}')""" if pattern else "") + f" then '{k}'" for k, (strings, pattern) in TOPICS.items())
     return f"""with d as (select doc_id, text, coalesce(text, '') as t, source, lang, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as n_tokens from documents),
         f as materialized (select doc_id, text, n_tokens, {named("source")}, {named("lang")}, case {topics} else 'prose' end as topic from d),
         {targets}, c0 as materialized (select source, lang, topic, sum(n_tokens)::double as n, sum(n_tokens)::double as w from f group by all),
