@@ -19,7 +19,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 #: Parts that a node's edges are dealt to; the side that is joined, one row a node, is repeated as often.
-SALTS = 16
+SALTS = 4
 
 
 def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
