@@ -247,15 +247,24 @@ def _stage(df: DataFrame, id_col: str, text_col: str, path: str | None) -> DataF
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by kind and key: chunks once each, and all recipes."""
-    before = None
+    """Of rows sorted by a number made from the key, the last column: chunks once each, and all recipes; the number goes."""
+    before, seen = None, set()  # of the last row's number
     for batch in batches:
-        keep = []
-        for i, (kind, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            if kind == "recipe" or key != before:
-                keep.append(i)
-            before = key if kind == "chunk" else None
-        yield batch.take(pa.array(keep, pa.int64()))
+        if not batch.num_rows:
+            continue
+        kinds, keys, numbers = batch.column(0), batch.column(1), batch.column(batch.num_columns - 1).to_numpy()
+        same = np.append(numbers[0] == before, numbers[1:] == numbers[:-1])
+        keep = ~same
+        for i in np.flatnonzero(same).tolist():
+            if i and not same[i - 1]:
+                seen = {keys[i - 1].as_py()}
+            if kinds[i].as_py() == "recipe" or keys[i].as_py() not in seen:
+                keep[i] = True
+                seen.add(keys[i].as_py())
+        if not same[-1]:
+            seen = {keys[batch.num_rows - 1].as_py()}
+        before = numbers[-1]
+        yield batch.filter(pa.array(keep)).drop_columns([batch.schema.names[-1]])
 
 
 def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> None:
@@ -263,7 +272,7 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     staged = _stage(df, id_col, text_col, path)
     # chunks meet by digest; recipes by row, so that neither a common chunk nor a common text gathers rows
-    dealt = staged.repartition(F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64("_row"))).sortWithinPartitions("kind", "key")
+    dealt = staged.withColumn("_number", F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64("_row"))).repartition("_number").sortWithinPartitions("_number")
     dealt.mapInArrow(_first_of_each, staged.schema).write.options(compression="zstd", **{"parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"}).partitionBy("kind").parquet(f"{folder}/staged")
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
