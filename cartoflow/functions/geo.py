@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import EARTH_RADIUS_M, KM_PER_DEGREE_MOBILE, METERS_PER_DEGREE, ZOOM_MAX, ZOOM_MIN
+from ..constants import EARTH_RADIUS_M, HEURISTIC_KMH, KM_PER_DEGREE_MOBILE, METERS_PER_DEGREE, ZOOM_MAX, ZOOM_MIN
 
 
 def col(c: Column | str | float) -> Column:
@@ -123,3 +123,8 @@ def project(lat, lon, veh_lat, veh_lon, heading, mpp: float, center: float, rota
         return F.lit(center) + x, F.lit(center) + y
     a = -F.radians(col(heading))
     return F.lit(center) + x * F.cos(a) - y * F.sin(a), F.lit(center) + x * F.sin(a) + y * F.cos(a)
+
+
+def heuristic_cs(lat1, lon1, lat2, lon2) -> Column:
+    """Centiseconds that the way between two places in microdegrees takes at least, at HEURISTIC_KMH, truncated."""
+    return (haversine_micro(lat1, lon1, lat2, lon2) / F.lit(HEURISTIC_KMH * 1000.0 / 3600.0) * 100.0).cast("long")

@@ -72,3 +72,8 @@ def prune_to_bbox(df: DataFrame, min_lat: float, max_lat: float, min_lon: float,
     size = TILE_SIZE_DEG[level]
     index = lambda x: int((x / size) // 1)
     return df.filter(F.col("tile_x").between(index(min_lon), index(max_lon)) & F.col("tile_y").between(index(min_lat), index(max_lat)))
+
+
+def load_and_keep(visible: DataFrame, loaded: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Visible tiles that are not loaded yet, and loaded ones that stay visible; both by the columns ``by``."""
+    return visible.join(loaded, by, "left_anti"), loaded.join(visible, by, "left_semi")

@@ -102,3 +102,17 @@ def tile_memory(owned: DataFrame, tiled: DataFrame, names: DataFrame, boundary:
     ends = boundary.groupBy(*by).agg(F.count("*").alias("ends"))
     out = nodes.join(edges, by, "left").join(texts, by, "left").join(ends, by, "left").fillna(0)
     return out.select(*by, (F.col("nodes") * 16 + F.col("edges") * 12 + F.col("ends") * 2 + F.col("bytes") + 64).alias("memory_bytes"))
+
+
+def edges_for_node(asked: DataFrame, owned: DataFrame, tiled: DataFrame, crosses: bool) -> DataFrame:
+    """Edges of ``tiled`` that start at each asked node (columns of ``asked``, among them node_id), within its tile or out of it; an equi-join on tile and index."""
+    at = owned.select("node_id", F.col("tile_x").alias("src_tile_x"), F.col("tile_y").alias("src_tile_y"), F.col("local_idx").alias("src_idx"))
+    return asked.join(at, "node_id").join(tiled.filter(F.col("crosses") == crosses), ["src_tile_x", "src_tile_y", "src_idx"])
+
+
+def tile_summary(owned: DataFrame, tiled: DataFrame) -> DataFrame:
+    """tile_x, tile_y, nodes, same_edges, cross_edges and boundary nodes of each tile of a level; a tile exists if a node of the level lies in it."""
+    by = ["tile_x", "tile_y"]
+    counts = tiled.groupBy(F.col("src_tile_x").alias("tile_x"), F.col("src_tile_y").alias("tile_y")).agg(F.count_if(~F.col("crosses")).alias("same_edges"), F.count_if("crosses").alias("cross_edges"))
+    ends = boundary_nodes(tiled).groupBy(*by).agg(F.count("*").alias("boundary"))
+    return owned.groupBy(*by).agg(F.count("*").alias("nodes")).join(counts, by, "left").join(ends, by, "left").fillna(0)

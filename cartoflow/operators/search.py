@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import FETCH, SHOWN
 from ..functions import classify, geo
+from ..plans.storage import written
 
 
 def extract_places(nodes: DataFrame) -> DataFrame:
@@ -25,6 +26,25 @@ def write_index(places: DataFrame, path: str) -> None:
     index(places).repartitionByRange("norm").sortWithinPartitions("norm", "seq").write.mode("overwrite").parquet(path)
 
 
+def layout(indexed: DataFrame) -> DataFrame:
+    """Entries with entry_id, their number in norm order, and name_offset, the bytes of the names before.
+
+    Numbers run over range partitions: each is numbered by itself, and what the
+    ones before hold (a row a partition on the driver) is added.
+    """
+    ordered = indexed.repartitionByRange("norm", "seq").sortWithinPartitions("norm", "seq").withColumn("part", F.spark_partition_id())
+    rows = written(ordered.withColumn("bytes", F.octet_length("name").cast("long")), "entries")
+    entries, size, before = 0, 0, []
+    for r in rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).orderBy("part").collect():
+        before.append((r["part"], entries, size))
+        entries, size = entries + r["n"], size + r["b"]
+    start = rows.sparkSession.createDataFrame(before, "part int, first_entry long, first_byte long")
+    w = Window.partitionBy("part").orderBy("norm", "seq")
+    own = rows.join(F.broadcast(start), "part").withColumn("entry_id", F.col("first_entry") + F.row_number().over(w) - 1)
+    own = own.withColumn("name_offset", F.col("first_byte") + F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return own.drop("part", "bytes", "first_entry", "first_byte")
+
+
 def prefix_search(indexed: DataFrame, query: str, limit: int = FETCH) -> DataFrame:
     """The first ``limit`` entries in norm order, then by score, the bytes that a norm has beyond the query."""
     q = normalized(query)

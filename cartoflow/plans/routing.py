@@ -40,15 +40,15 @@ def one_to_all(edges: DataFrame, source: int, max_rounds: int = 100_000) -> Data
         merged = written(best.join(offers, "node_id", "full_outer").select("node_id", F.least("cost", "offer").alias("cost"), F.coalesce(F.col("offer") < F.col("cost"), F.col("cost").isNull()).alias("fresh")), "costs")
         best, frontier = merged.select("node_id", "cost"), merged.filter("fresh").select("node_id", "cost")
         if not frontier.head(1):
-            break
-    return best
+            return best
+    raise RuntimeError(f"costs still fall after {max_rounds} rounds")
 
 
-def shortest(adjacency: dict[int, list[tuple[int, int]]], src: int, dst: int, max_nodes: int = C.MAX_NODES) -> tuple[list[int], int | None, int]:
+def shortest(adjacency: dict[int, list[tuple[int, int]]], src: int, dst: int, max_nodes: int | None = None) -> tuple[list[int], int | None, int]:
     """Path, cost and nodes settled, by Dijkstra's search; no path: ([], None, settled)."""
     cost, parent, done = {src: 0}, {}, set()
     heap = [(0, src)]
-    while heap and len(done) < max_nodes:
+    while heap and (max_nodes is None or len(done) < max_nodes):
         g, u = heapq.heappop(heap)
         if u in done:
             continue
@@ -68,7 +68,7 @@ def shortest(adjacency: dict[int, list[tuple[int, int]]], src: int, dst: int, ma
 ROUTE = "req_id long, src long, dst long, path array<long>, cost_cs long, explored long"
 
 
-def _solve(adjacency: dict[int, list[tuple[int, int]]], rows: pd.DataFrame, max_nodes: int) -> pd.DataFrame:
+def _solve(adjacency: dict[int, list[tuple[int, int]]], rows: pd.DataFrame, max_nodes: int | None) -> pd.DataFrame:
     out = []
     for r in rows.itertuples():
         path, cost, explored = shortest(adjacency, r.src, r.dst, max_nodes)
@@ -84,13 +84,14 @@ def _adjacency(pdf: pd.DataFrame) -> dict[int, list[tuple[int, int]]]:
     return out
 
 
-def point_to_point(requests: DataFrame, edges: DataFrame, nodes: DataFrame, max_nodes: int = C.MAX_NODES, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
+def point_to_point(requests: DataFrame, edges: DataFrame, nodes: DataFrame, max_nodes: int | None = None, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """req_id, src, dst, path, cost_cs (null: no path), explored for requests (req_id, src, dst).
 
     Requests are searched in parallel, one at a time in a task.  A graph of up to
     ``broadcast_edges`` edges (counted first) goes to every task; of a larger one
     each request gets the edges in the box of its ends, widened by CORRIDOR_DEG;
     where a path that leaves the box may cost less, the whole graph is relaxed.
+    ``max_nodes`` bounds the nodes a search settles; it is off unless it is given.
     """
     best = cheapest_edges(edges).select("src", "dst", "weight_cs")
     if best.count() <= broadcast_edges:
@@ -119,7 +120,7 @@ def _pace(placed: DataFrame) -> float:
     return 0.0 if found["lost"] or found["least"] is None else max(0.0, found["least"]) * (1 - 1e-6)
 
 
-def _in_corridors(asked: DataFrame, placed: DataFrame, pace: float, max_nodes: int) -> DataFrame:
+def _in_corridors(asked: DataFrame, placed: DataFrame, pace: float, max_nodes: int | None) -> DataFrame:
     """ROUTE and proven, of each request within its corridor.
 
     Proven: no path that leaves the corridor can cost less.  Each edge out of it
@@ -146,7 +147,7 @@ def _in_corridors(asked: DataFrame, placed: DataFrame, pace: float, max_nodes: i
         proven = []
         for r, cost, explored in zip(rows.itertuples(), done["cost_cs"].tolist(), done["explored"].tolist(), strict=True):
             around = shortest(adjacency, r.src, out, 1 << 62)[1]
-            over = pd.isna(cost) and explored >= max_nodes  # the whole graph has as many nodes to settle
+            over = max_nodes is not None and pd.isna(cost) and explored >= max_nodes  # the whole graph has as many nodes to settle
             proven.append(bool(over or (r.known and (around is None or (not pd.isna(cost) and cost <= around)))))
         return done.assign(proven=proven)
 
@@ -201,6 +202,21 @@ def path_totals(routes: DataFrame, edges: DataFrame) -> DataFrame:
     return routes.filter(F.size("path") >= 1).select("req_id").join(totals, "req_id", "left").fillna(0)
 
 
+def with_endpoints(paths: DataFrame) -> DataFrame:
+    """``points`` (array<struct<lat,lon>>) with the place that a route is asked from (from_lat, from_lon) before it and the one it goes to (to_lat, to_lon) after it."""
+    end = lambda p: F.array(F.struct(F.col(f"{p}_lat").alias("lat"), F.col(f"{p}_lon").alias("lon")))
+    return paths.withColumn("points", F.concat(end("from"), F.col("points"), end("to")))
+
+
+#: Nodes of a graph over all levels are level * LEVEL_KEY + node.
+LEVEL_KEY = 1_000_000_000
+
+
+def levels_used(routes: DataFrame) -> DataFrame:
+    """Routes with levels_used, the levels that lie on the path of a graph over all levels, in order."""
+    return routes.withColumn("levels_used", F.array_sort(F.array_distinct(F.transform("path", lambda x: F.floor(x / LEVEL_KEY).cast("int")))))
+
+
 def route_segments(routes: DataFrame, edges: DataFrame) -> DataFrame:
     """req_id, step, name, instruction, distance_m of each path step."""
     best = edges.groupBy("src", "dst").agg(F.min(F.struct("weight_cs", "distance_cm", "name")).alias("b"))

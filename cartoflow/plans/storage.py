@@ -9,19 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which driver and executors share; a temporary folder where it is unset."""
+    """``spark.checkpoint.dir``, which driver and executors share; a temporary folder where it is unset, in local mode alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
-    made = spark.sparkContext._jsc.sc().getCheckpointDir()
+    sc = spark.sparkContext
+    made = sc._jsc.sc().getCheckpointDir()
     if not made.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cartoflow-"))
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cartoflow-"))
+        made = sc._jsc.sc().getCheckpointDir()
     return made.get()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/cartoflow/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cartoflow/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

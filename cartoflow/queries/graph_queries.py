@@ -9,8 +9,9 @@ from .. import constants as C
 from ..functions import classify, geo, grid
 from ..operators import graph_etl, snap
 from ..plans import routing
-from ..plans.storage import written
+from ..plans.storage import new_folder, written
 from ..sources import fixtures as X
+from ..sources import readers
 from .duck import by_class, hav, tile, with_views
 from .tag_queries import ONEWAY, SPEED
 
@@ -193,13 +194,14 @@ def _sssp(spark: SparkSession, d: str) -> DataFrame:
     return routing.one_to_all(scatter_edges(spark, d), 7)
 
 
-REQ = 4  # the request whose cost the oracle searches
+DEPOT = 7  # the node that every customer's way starts from, so that one search gives the oracle all costs
 
 
-@query("route_costs", with_views("edges_grid nodes_grid requests", f"{GRID_EDGES}, {COSTS.format(src=f'(select src from requests where req_id = {REQ})')} select req_id, src, dst, g as cost_cs from requests join t on id = dst where req_id = {REQ}"))
+@query("route_costs", with_views("edges_grid nodes_grid", f"{GRID_EDGES}, {COSTS.format(src=DEPOT)} select c_custkey as req_id, {DEPOT}::bigint as src, c_custkey * 104729 % n as dst, g as cost_cs from customer, (select count(*) as n from part), t where id = c_custkey * 104729 % n"))
 def _route_costs(spark: SparkSession, d: str) -> DataFrame:
-    found = routing.point_to_point(X.route_requests(spark, d).filter(F.col("req_id") == REQ), grid_edges(spark, d), X.nodes_grid(spark, d))
-    return found.select("req_id", "src", "dst", "cost_cs")
+    asked = X.route_requests(spark, d).withColumn("src", F.lit(DEPOT).cast("long"))
+    found = routing.point_to_point(asked, grid_edges(spark, d), X.nodes_grid(spark, d))
+    return found.filter("cost_cs is not null").select("req_id", "src", "dst", "cost_cs")
 
 
 @query("route_paths")
@@ -298,7 +300,7 @@ def _prune(spark: SparkSession, d: str) -> DataFrame:
 
 
 # One graph over all levels: a node is (level, node); nodes at the same place on adjacent levels are tied at no cost.
-KEY = 1_000_000_000
+KEY = routing.LEVEL_KEY
 MULTI = f"{LEVELS}, w as materialized (select level * {KEY} + src as src, level * {KEY} + dst as dst, min({WEIGHT}) as w from edges group by all union all select a.level * {KEY} + a.node_id, b.level * {KEY} + b.node_id, 0 from lv a join lv b using (lat_micro, lon_micro) where abs(a.level - b.level) = 1)"
 
 
@@ -313,3 +315,133 @@ def _multi_level(spark: SparkSession, d: str) -> DataFrame:
     costs = routing.one_to_all(own.unionByName(across), 2 * KEY + 7)
     level = F.expr(f"cast(node_id div {KEY} as int)")
     return costs.withColumn("level", level).groupBy((F.col("node_id") % KEY).alias("node_id")).agg(F.min("cost").alias("cost"), (2 - F.max("level")).alias("highest_first"))
+
+
+MULTI_START = 2 * KEY + 7
+
+
+def multi_level_graph(spark: SparkSession, d: str) -> DataFrame:
+    """src, dst, weight_cs, distance_cm over (level, node) keys."""
+    key = lambda level, node: F.col(level).cast("long") * KEY + F.col(node)
+    edges = written(graph_etl.with_weight(edges_of(spark, d)).withColumn("level", classify.hierarchy_level(F.col("road_class"))), "edges")
+    ends = edges.select("level", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    ties = snap.level_transitions(ends.join(X.nodes_grid(spark, d), "node_id"))
+    none = F.lit(0).cast("long")
+    return edges.select(key("level", "src").alias("src"), key("level", "dst").alias("dst"), "weight_cs", "distance_cm").unionByName(ties.select(key("src_level", "src").alias("src"), key("dst_level", "dst").alias("dst"), none.alias("weight_cs"), none.alias("distance_cm")))
+
+
+@query("multi_level_routes", with_views(ETL, f"{MULTI}, {COSTS.format(src=MULTI_START)} select c_custkey as req_id, id as dst, g::bigint as cost_cs, g::bigint as path_cs from customer, (select count(*) as n from part), t where id = {2 * KEY} + c_custkey * 7919 % n"))
+def _multi_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Ways over all levels to every customer's node: the cost found, and what the edges of the path add up to."""
+    graph = written(multi_level_graph(spark, d), "graph")
+    asked = X.route_requests(spark, d).select("req_id", F.lit(MULTI_START).cast("long").alias("src"), (F.lit(2 * KEY).cast("long") + F.col("src")).alias("dst"))
+    nodes = X.nodes_grid(spark, d).select(F.explode(F.array(*(F.lit(k * KEY).cast("long") + F.col("node_id") for k in C.TILE_SIZE_DEG))).alias("node_id"), "lat", "lon")
+    found = written(routing.point_to_point(asked, graph, nodes).filter("cost_cs is not null"), "routes")
+    return found.join(routing.path_totals(found, graph), "req_id").select("req_id", "dst", "cost_cs", F.col("weight_cs").alias("path_cs"))
+
+
+CUSTOMER_NODES = "asked as (select c_custkey as req_id, c_custkey * 7919 % n as node_id from customer, (select count(*) as n from part))"
+
+
+@query("heuristic_cs", with_views("nodes_grid", f"r as (select c_custkey as req_id, c_custkey * 7919 % n as src, c_custkey * 104729 % n as dst from customer, (select count(*) as n from part)) select req_id, trunc({hav('a.lat_micro / 1e6::double', 'a.lon_micro / 1e6::double', 'b.lat_micro / 1e6::double', 'b.lon_micro / 1e6::double')} / (130.0::double * 1000.0 / 3600.0) * 100.0)::bigint as least_cs from r join nodes_grid a on a.node_id = src join nodes_grid b on b.node_id = dst"))
+def _heuristic(spark: SparkSession, d: str) -> DataFrame:
+    n = X.nodes_grid(spark, d)
+    end = lambda p: n.select(F.col("node_id").alias(p), F.col("lat_micro").alias(f"{p}_lat"), F.col("lon_micro").alias(f"{p}_lon"))
+    return X.route_requests(spark, d).join(end("src"), "src").join(end("dst"), "dst").select("req_id", geo.heuristic_cs("src_lat", "src_lon", "dst_lat", "dst_lon").alias("least_cs"))
+
+
+def _edges_from(crosses: bool) -> str:
+    return with_views(ETL, f"{GRAPH}, {OWNED}, {TILED}, {CUSTOMER_NODES} select req_id, node_id, way_id, pos, reverse, dx as dst_tile_x, dy as dst_tile_y, di as dst_idx, distance_cm from asked join tiled on src = node_id where {'crosses' if crosses else 'not crosses'}")
+
+
+def _node_edges(spark: SparkSession, d: str, crosses: bool) -> DataFrame:
+    owned, tiled = level_parts(spark, d)
+    asked = X.route_requests(spark, d).select("req_id", F.col("src").alias("node_id"))
+    found = graph_etl.edges_for_node(asked, owned, tiled.drop("src", "dst"), crosses)
+    return found.select("req_id", "node_id", "way_id", "pos", "reverse", "dst_tile_x", "dst_tile_y", "dst_idx", "distance_cm")
+
+
+@query("edges_for_node", _edges_from(False))
+def _edges_for_node(spark: SparkSession, d: str) -> DataFrame:
+    return _node_edges(spark, d, False)
+
+
+@query("cross_tile_edges_for_node", _edges_from(True))
+def _cross_edges_for_node(spark: SparkSession, d: str) -> DataFrame:
+    return _node_edges(spark, d, True)
+
+
+def _partition_sql(level: int) -> str:
+    """Common tables of one level's tiles, the last of them part<level>."""
+    size = C.TILE_SIZE_DEG[level]
+    n, e = f"own{level}", f"te{level}"
+    return f"""{n} as (select node_id, {tile('lon', size)} as tile_x, {tile('lat', size)} as tile_y from nodes_grid where node_id in (select src from edges where level = {level} union select dst from edges where level = {level})),
+        {e} as (select a.tile_x as tile_x, a.tile_y as tile_y, src, (a.tile_x, a.tile_y) <> (b.tile_x, b.tile_y) as crosses from edges join {n} a on a.node_id = src join {n} b on b.node_id = dst where level = {level}),
+        part{level} as (select {level} as level, n.tile_x as tile_x, n.tile_y as tile_y, nodes, coalesce(same_edges, 0)::bigint as same_edges, coalesce(cross_edges, 0)::bigint as cross_edges, coalesce(boundary, 0)::bigint as boundary
+            from (select tile_x, tile_y, count(*)::bigint as nodes from {n} group by all) n left join (select tile_x, tile_y, count(*) filter (not crosses) as same_edges, count(*) filter (crosses) as cross_edges,
+            count(distinct src) filter (crosses) as boundary from {e} group by all) x on x.tile_x = n.tile_x and x.tile_y = n.tile_y)"""
+
+
+PARTITIONS = f"{GRAPH}, " + ", ".join(_partition_sql(k) for k in C.TILE_SIZE_DEG)
+ALL_PARTS = " union all ".join(f"select * from part{k}" for k in C.TILE_SIZE_DEG)
+
+
+def all_levels(spark: SparkSession, d: str) -> dict[int, tuple[DataFrame, DataFrame]]:
+    edges = written(edges_of(spark, d), "edges")
+    out = {}
+    for level in C.TILE_SIZE_DEG:
+        own = graph_etl.at_level(edges, level)
+        owned = graph_etl.routing_nodes(own, X.nodes_grid(spark, d), level)
+        out[level] = (owned, graph_etl.tiled_edges(own, owned))
+    return out
+
+
+@query("partition_by_level", with_views(ETL, f"{PARTITIONS} {ALL_PARTS}"))
+def _partition(spark: SparkSession, d: str) -> DataFrame:
+    parts = [graph_etl.tile_summary(*x).select(F.lit(k).alias("level"), "tile_x", "tile_y", "nodes", "same_edges", "cross_edges", "boundary") for k, x in all_levels(spark, d).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("write_read_routing_tiles", with_views(ETL, f"{PARTITIONS} select level, count(*)::bigint as tiles, sum(nodes)::bigint as nodes, sum(same_edges)::bigint as same_edges, sum(cross_edges)::bigint as cross_edges from ({ALL_PARTS}) group by level"))
+def _routing_tiles(spark: SparkSession, d: str) -> DataFrame:
+    levels = all_levels(spark, d)
+    tagged = [[x.withColumn("level", F.lit(k)) for k, pair in levels.items() for x in [pair[i]]] for i in (0, 1)]
+    nodes, edges = (x[0].unionByName(x[1]).unionByName(x[2]) for x in tagged)
+    folder = new_folder(spark, "routing")
+    readers.write_routing_tiles(nodes, edges, folder)
+    nodes, same, cross = readers.read_routing_tiles(spark, folder, edges.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    counts = nodes.groupBy("level", "tile_x", "tile_y").agg(F.count("*").alias("n")).groupBy("level").agg(F.count("*").alias("tiles"), F.sum("n").alias("nodes"))
+    n_of = lambda df, name: df.groupBy("level").agg(F.count("*").alias(name))
+    return counts.join(n_of(same, "same_edges"), "level", "left").join(n_of(cross, "cross_edges"), "level", "left").fillna(0)
+
+
+@query("route_with_endpoints", with_views("query_points nodes_grid", f"{WALK}, p as (select req_id, count(*) + 2 as n, first(lat order by i desc) as last_lat, first(lon order by i) as first_lon from step join nodes_grid on node_id = src group by req_id) select req_id, n::int as n, q.lat as from_lat, q.lon as from_lon, first_lon, last_lat, q.lat + 0.01::double as to_lat from p join query_points q on point_id = req_id"))
+def _with_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    steps = walks(spark, d).select("req_id", F.posexplode("path").alias("step", "node_id")).join(X.nodes_grid(spark, d), "node_id")
+    points = steps.groupBy("req_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "lat", "lon"))), lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))).alias("points"))
+    ends_ = X.query_points(spark, d).select(F.col("point_id").alias("req_id"), F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"), (F.col("lat") + F.lit(0.01)).alias("to_lat"), F.col("lon").alias("to_lon"))
+    full = routing.with_endpoints(points.join(ends_, "req_id"))
+    at = lambda i, f: F.element_at("points", i)[f]
+    return full.select("req_id", F.size("points").alias("n"), at(1, "lat").alias("from_lat"), at(1, "lon").alias("from_lon"), at(2, "lon").alias("first_lon"), at(-2, "lat").alias("last_lat"), at(-1, "lat").alias("to_lat"))
+
+
+SEEN = f"seen as (select point_id, unnest(generate_series({tile('lon - 0.015::double')}, {tile('lon + 0.015::double')}))::int as tile_x, {tile('lat - 0.015::double')} as y0, {tile('lat + 0.015::double')} as y1 from query_points), vis as (select point_id, tile_x, unnest(generate_series(y0, y1))::int as tile_y from seen), held as (select point_id + 1 as point_id, tile_x, tile_y from vis)"
+
+
+@query("tiles_to_load_and_keep", with_views("query_points", f"{SEEN}, a as (select point_id, tile_x, tile_y from vis except select * from held), b as (select * from held intersect select point_id, tile_x, tile_y from vis) select point_id, 'load' as what, tile_x, tile_y from a union all select point_id, 'keep', tile_x, tile_y from b"))
+def _load_and_keep(spark: SparkSession, d: str) -> DataFrame:
+    """Each point's view after the one of the point before."""
+    by = ["point_id", "tile_x", "tile_y"]
+    visible = grid.visible_tiles(X.query_points(spark, d), "lat", "lon", C.VIEW_RADIUS_DEG).select(*by)
+    load, keep = grid.load_and_keep(visible, visible.withColumn("point_id", F.col("point_id") + 1), by)
+    return load.withColumn("what", F.lit("load")).unionByName(keep.withColumn("what", F.lit("keep"))).select("point_id", "what", "tile_x", "tile_y")
+
+
+@query("landed_ways", with_views("ways refs", "select way_id, name, count(ref)::bigint as refs, sum(ref * (pos + 1))::bigint as checked from ways join refs using (way_id) group by way_id, name"))
+def _landed(spark: SparkSession, d: str) -> DataFrame:
+    """Ways landed as JSON lines and read back into the tables of the ETL."""
+    refs = X.way_refs(spark, d).groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref"))), lambda x: x["ref"]).alias("refs"))
+    folder = new_folder(spark, "landed")
+    X.way_tags(spark, d).join(refs, "way_id").select(F.col("way_id").alias("id"), "refs", "tags").write.json(folder)
+    tags, placed = readers.landed_ways(readers.read_landed(spark, folder, readers.WAY, "json"))
+    return tags.join(placed, "way_id").groupBy("way_id", F.col("tags")["name"].alias("name")).agg(F.count("*").alias("refs"), F.sum(F.col("ref") * (F.col("pos") + 1)).alias("checked"))

@@ -107,3 +107,36 @@ def read_tiles(spark: SparkSession, path: str, tiles: list[tuple[int, int]] | No
     cells = sorted({(x // cell, y // cell) for x, y in tiles})
     wanted = F.struct("cell_x", "cell_y").isin([F.struct(F.lit(x), F.lit(y)) for x, y in cells]) if cells else F.lit(False)
     return df.filter(F.col("cell_x").isin(*{x for x, _ in cells}) & F.col("cell_y").isin(*{y for _, y in cells}) & wanted & F.struct("tile_x", "tile_y").isin([F.struct(F.lit(x), F.lit(y)) for x, y in tiles]))
+
+
+#: Landed map extracts: nodes, ways and relations as Parquet or JSON lines.
+NODE = "id long, lat double, lon double, tags map<string,string>"
+WAY = "id long, refs array<long>, tags map<string,string>"
+RELATION = "id long, tags map<string,string>, members array<struct<type:string,ref:long,role:string>>"
+
+
+def read_landed(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
+    """Nodes, ways or relations (NODE, WAY, RELATION) of a landed extract; ``kind``: parquet or json; missing columns are null."""
+    return spark.read.schema(schema).format(kind).load(path)
+
+
+def landed_ways(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """way_id and tags, and way_id, pos, ref: the two tables that the ETL takes."""
+    return ways.select(F.col("id").alias("way_id"), "tags"), ways.select(F.col("id").alias("way_id"), F.posexplode("refs").alias("pos", "ref"))
+
+
+def write_routing_tiles(nodes: DataFrame, edges: DataFrame, path: str, cell: int = 10) -> None:
+    """Nodes (level, tile_x, tile_y, ...), edges within tiles and edges across (level, src_tile_x, src_tile_y, crosses, ...), by level and cell."""
+    tables = {"nodes": (nodes, ("tile_x", "tile_y")), "edges": (edges.filter(~F.col("crosses")), ("src_tile_x", "src_tile_y")), "cross_edges": (edges.filter("crosses"), ("src_tile_x", "src_tile_y"))}
+    for name, (df, keys) in tables.items():
+        cells = {"cell_x": F.floor(F.col(keys[0]) / cell).cast("int"), "cell_y": F.floor(F.col(keys[1]) / cell).cast("int")}
+        by = ["level", "cell_x", "cell_y"]
+        df.withColumns(cells).repartition(*by).sortWithinPartitions(*by, *keys).write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
+
+
+def read_routing_tiles(spark: SparkSession, path: str, edge_schema: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges within tiles, edges across; tables of the first version, without edges across, give none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/cross_edges")
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    cross = spark.read.parquet(f"{path}/cross_edges") if there else spark.createDataFrame([], edge_schema)
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"), cross
