@@ -67,11 +67,16 @@ def bbox_contains(box: tuple[Column, Column, Column, Column], lat, lon) -> Colum
     return col(lat).between(box[0], box[1]) & col(lon).between(box[2], box[3])
 
 
-def prune_to_bbox(df: DataFrame, min_lat: float, max_lat: float, min_lon: float, max_lon: float, level: int = LOCAL) -> DataFrame:
-    """Add tile bounds to a table with tile_x and tile_y, so that partitions and row groups are pruned."""
+def prune_to_bbox(df: DataFrame, min_lat: float, max_lat: float, min_lon: float, max_lon: float, level: int = LOCAL, cell: int = 10) -> DataFrame:
+    """Rows whose tile_x and tile_y lie in the box; of a table partitioned by cells of ``cell`` x ``cell`` tiles only those partitions are read."""
     size = TILE_SIZE_DEG[level]
     index = lambda x: int((x / size) // 1)
-    return df.filter(F.col("tile_x").between(index(min_lon), index(max_lon)) & F.col("tile_y").between(index(min_lat), index(max_lat)))
+    bounds = {"x": (index(min_lon), index(max_lon)), "y": (index(min_lat), index(max_lat))}
+    for axis, (low, high) in bounds.items():
+        df = df.filter(F.col(f"tile_{axis}").between(low, high))
+        if f"cell_{axis}" in df.columns:
+            df = df.filter(F.col(f"cell_{axis}").between(low // cell, high // cell))
+    return df
 
 
 def load_and_keep(visible: DataFrame, loaded: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import FETCH, SHOWN
@@ -48,10 +48,8 @@ def layout(indexed: DataFrame) -> DataFrame:
 def prefix_search(indexed: DataFrame, query: str, limit: int = FETCH) -> DataFrame:
     """The first ``limit`` entries in norm order, then by score, the bytes that a norm has beyond the query."""
     q = normalized(query)
-    if not q:
-        return indexed.withColumn("score", F.lit(0)).limit(0)
-    found = indexed.filter(F.col("norm").startswith(q)).orderBy("norm", "seq").limit(limit)
-    return found.withColumn("score", F.octet_length("norm") - len(q.encode())).orderBy("score", "norm", "seq")
+    found = indexed.filter((F.length(q) > 0) & F.col("norm").startswith(q)).orderBy("norm", "seq").limit(limit)
+    return found.withColumn("score", F.octet_length("norm") - F.octet_length(q)).orderBy("score", "norm", "seq")
 
 
 def exact_search(indexed: DataFrame, query: str) -> DataFrame:
@@ -59,9 +57,9 @@ def exact_search(indexed: DataFrame, query: str) -> DataFrame:
     return indexed.filter(F.col("norm") == normalized(query)).orderBy("seq").limit(1).withColumn("score", F.lit(0))
 
 
-def normalized(query: str) -> str:
-    """A query as normalize_name makes it."""
-    return "".join(c.lower()[:1] for c in query if c.isalnum() or c == " ").strip()
+def normalized(query: str) -> Column:
+    """A query in the form of the index: the same expression, folded to a literal, so that it still reaches the scan."""
+    return classify.normalize_name(F.lit(query))
 
 
 def search_nearby(indexed: DataFrame, query: str, lat: float, lon: float, shown: int = SHOWN) -> DataFrame:
