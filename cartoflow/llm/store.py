@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -62,6 +61,22 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Known(dict):
+    """Ids of pre-tokens as bytes; one that is not there comes from ``older`` or from the library's model, and stays."""
+
+    def __init__(self, model, units: list[bytes], older: dict[str, bytes]) -> None:
+        super().__init__()
+        self.ask, self.units, self.older, self.letters = model.tokenize, units, older, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            units = self.units
+            found = b"".join([units[t.id] for t in self.ask(piece.encode().decode("latin-1").translate(self.letters))])
+        self[piece] = found
+        return found
+
+
 class Encoder:
     """The tokenizers library's model, asked for each distinct pre-token once: it encodes pre-tokens on their own anyway.
     Texts with an added token's string go to the library as they are."""
@@ -69,39 +84,24 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
-        self.library, self.model = library, library.model
+        self.library = library = Tokenizer.from_file(path)
         self.added = [t.content for t in library.get_added_tokens_decoder().values()]
-        self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.code = "H" if max(library.get_vocab_size(), END_ID + 1) <= 1 << 16 else "I"
-        self.width = np.dtype(f"<u{array(self.code).itemsize}")
-
-    def learn(self, piece: str) -> bytes:
-        """The piece's ids, from the older half of the memory or from the library."""
-        found = self.older.get(piece)
-        if found is None:
-            written = piece.encode().decode("latin-1").translate(self.letters)
-            found = array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
-        self.known[piece] = found
-        return found
+        size = max(library.get_vocab_size(), END_ID + 1, *(i + 1 for i in library.get_vocab().values()))
+        self.width = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.units = [i.to_bytes(self.width.itemsize, "little") for i in range(size)]
+        self.known = Known(library.model, self.units, {})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED // 2:
-            self.older, self.known = self.known, {}
-        out, end = [], np.array([END_ID], self.width).tobytes()
+            older, self.known.older = self.known, {}
+            self.known = Known(self.library.model, self.units, older)
+        out, end, ids_of = [], self.units[END_ID], self.known.__getitem__
         for text in texts:
             if any(t in text for t in self.added):  # the library matches them before all else
                 ids = self.library.encode(text, add_special_tokens=False).ids
                 out.append(np.array([*ids, END_ID], self.width))
                 continue
-            pieces = pretokens(text)
-            found = list(map(self.known.get, pieces))
-            if None in found:
-                found = [self.learn(p) if f is None else f for p, f in zip(pieces, found, strict=True)]
-            found.append(end)
-            out.append(np.frombuffer(b"".join(found), self.width))
+            out.append(np.frombuffer(b"".join([*map(ids_of, pretokens(text)), end]), self.width))
         return out
 
 
@@ -200,8 +200,6 @@ def shift(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
     return crc
 
 
-
-
 def _stage(df: DataFrame, id_col: str, text_col: str, path: str | None) -> DataFrame:
     """Chunks (key: digest, n: ids) and recipes (key: root, n: ids, payload: entries), a chunk once a task at most."""
     id_type = df.schema[id_col].dataType.simpleString()
