@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import classify, geo, grid
 from ..operators import graph_etl, snap
-from ..plans import routing
+from ..plans import front_door, routing
 from ..plans.storage import new_folder, written
 from ..sources import fixtures as X
 from ..sources import readers
@@ -445,3 +445,99 @@ def _landed(spark: SparkSession, d: str) -> DataFrame:
     X.way_tags(spark, d).join(refs, "way_id").select(F.col("way_id").alias("id"), "refs", "tags").write.json(folder)
     tags, placed = readers.landed_ways(readers.read_landed(spark, folder, readers.WAY, "json"))
     return tags.join(placed, "way_id").groupBy("way_id", F.col("tags")["name"].alias("name")).agg(F.count("*").alias("refs"), F.sum(F.col("ref") * (F.col("pos") + 1)).alias("checked"))
+
+
+# The front door: every way starts at one place, so that a search each for the tile, all levels and each upper level gives the oracle all costs.
+DOOR_START = (47.1012, 8.4018)
+_LAT2, _LON2 = "(lat_micro + [0, 5000, 12000, 500000][(point_id % 4 + 1)::int]) / 1e6::double", "lon_micro / 1e6::double"
+DOOR = f"""r as materialized (select point_id as req_id, trunc({DOOR_START[0]}::double * 1e6::double)::int as start_lat, trunc({DOOR_START[1]}::double * 1e6::double)::int as start_lon, trunc(({_LAT2}) * 1e6::double)::int as end_lat, trunc(({_LON2}) * 1e6::double)::int as end_lon,
+    {hav(f"{DOOR_START[0]}::double", f"{DOOR_START[1]}::double", _LAT2, _LON2)} as far from query_points), c as (select * from r)"""
+
+
+def _search_sql(name: str, links: str, start: str) -> str:
+    """Common table ``name``: id, g of the least costs from ``start`` along ``links`` (src, dst, w)."""
+    return f"{name}(id, g) using key (id) as (select id, 0::bigint from ({start}) union (select w.dst, min(t.g + w.w) from {name} t join {links} w on t.id = w.src left join recurring.{name} r on r.id = w.dst where r.id is null or t.g + w.w < r.g group by w.dst))"
+
+
+def _level_search(level: int) -> str:
+    """Common tables of the ends on a level, and of the costs from the start's: way<level>."""
+    a, b = f"start{level}", f"end{level}"
+    own = f"links{level} as materialized (select src, dst, min({WEIGHT}) as w from edges where level = {level} group by all)"
+    return f"{_nearest_sql(a, level, 'start')}, {_nearest_sql(b, level, 'end')}, {own}, {_search_sql(f'way{level}', f'links{level}', f'select distinct {a} as id from {a}')}"
+
+
+def _in_tile_sql(name: str, at: str) -> str:
+    own = lambda c: tile(f"{c} / 1e6::double")
+    d = hav(f"{at}_lat / 1e6::double", f"{at}_lon / 1e6::double", "lat_micro / 1e6::double", "lon_micro / 1e6::double")
+    return f"{name} as (select req_id, first(node_id order by round({d}, 6), node_id) as {name} from same join lv on level = 2 and {own('lat_micro')} = {own('end_lat')} and {own('lon_micro')} = {own('end_lon')} group by req_id)"
+
+
+_OWN = lambda c: tile(f"{c} / 1e6::double")
+_OWN_START, _OWN_END = (f"{_OWN(f'{x}_lat')} = {_OWN('end_lat')} and {_OWN(f'{x}_lon')} = {_OWN('end_lon')}" for x in ("start", "end"))
+
+
+def door_tile_sql(mode: str) -> str:
+    """Common tables of the ends in the end's tile, and of the costs from each tile's start: way_tile.  No edge leaves a tile here, so one search serves all tiles."""
+    placed = f"held as materialized (select node_id, {_OWN('lat_micro')} as ty, {_OWN('lon_micro')} as tx from lv where level = 2)"
+    links = f"tile_links as materialized (select src, dst, min({WEIGHT}) as w from edges join held a on a.node_id = src join held b on b.node_id = dst where level = 2 and a.ty = b.ty and a.tx = b.tx group by all)"
+    return f"""same as materialized (select * from r where far < 5000 and {_OWN_START if mode == "exact" else _OWN_END}), {_in_tile_sql('tile_start', 'start')}, {_in_tile_sql('tile_end', 'end')},
+    {placed}, {links}, {_search_sql('way_tile', 'tile_links', 'select distinct tile_start as id from tile_start')}"""
+
+
+DOOR_LOCAL = f"{_nearest_sql('start2', 2, 'start')}, {_nearest_sql('end2', 2, 'end')}, {_search_sql('way2', 'w', f'select distinct {2 * KEY} + start2 as id from start2')}"
+
+
+def door_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's way from DOOR_START: to its place, or to one 0.005, 0.012 or 0.5 degrees further north."""
+    north = F.get(F.array(*map(F.lit, (0, 5_000, 12_000, 500_000))), (F.col("point_id") % 4).cast("int"))
+    p = X.query_points(spark, d)
+    return p.select(F.col("point_id").alias("req_id"), F.lit(DOOR_START[0]).alias("lat1"), F.lit(DOOR_START[1]).alias("lon1"), ((F.col("lat_micro") + north) / F.lit(1e6)).alias("lat2"), (F.col("lon_micro") / F.lit(1e6)).alias("lon2"))
+
+
+def level_graphs(spark: SparkSession, d: str) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """Nodes and edges of each level."""
+    edges, nodes = written(graph_etl.with_weight(edges_of(spark, d)), "edges"), X.nodes_grid(spark, d)
+    own = {level: graph_etl.at_level(edges, level) for level in C.TILE_SIZE_DEG}
+    return {level: (nodes.join(e.select(F.explode(F.array("src", "dst")).alias("node_id")), "node_id", "left_semi"), e) for level, e in own.items()}
+
+
+def level_places(spark: SparkSession, d: str) -> DataFrame:
+    return X.nodes_grid(spark, d).select(F.explode(F.array(*(F.lit(k * KEY).cast("long") + F.col("node_id") for k in C.TILE_SIZE_DEG))).alias("node_id"), "lat", "lon")
+
+
+@query("single_tile_routes", with_views("query_points " + ETL, f"{LEVELS}, {DOOR}, {door_tile_sql('end_tile')} select req_id, tile_start as src, tile_end as dst, g::bigint as cost_cs from tile_start join tile_end using (req_id) join way_tile on id = tile_end"))
+def _tile_routes(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = level_graphs(spark, d)[C.LOCAL]
+    near = door_requests(spark, d).filter(geo.haversine("lat1", "lon1", "lat2", "lon2") < C.LOCAL_LIMIT_M)
+    return front_door.single_tile_routes(near, nodes, edges, "end_tile").select("req_id", "src", "dst", "cost_cs")
+
+
+@query("connected_routes", with_views("query_points " + ETL, f"{LEVELS}, {DOOR}, {DOOR_LOCAL.split(', way2(')[0]}, {_level_search(1)} select req_id, {2 * KEY} + start2 as first_node, case when end2 = end1 then {KEY} + end1 else {2 * KEY} + end2 end as last_node, g::bigint as cost_cs from start2 join end2 using (req_id) join end1 using (req_id) join way1 on id = end1"))
+def _connected(spark: SparkSession, d: str) -> DataFrame:
+    found = front_door.connected_routes(door_requests(spark, d), level_graphs(spark, d), C.ARTERIAL)
+    return found.select("req_id", F.get("path", F.lit(0)).alias("first_node"), F.element_at("path", -1).alias("last_node"), "cost_cs")
+
+
+def front_door_sql(mode: str) -> str:
+    return with_views(
+        "query_points " + ETL,
+        f"""{MULTI}, {DOOR}, {door_tile_sql(mode)}, {DOOR_LOCAL}, {_level_search(1)}, {_level_search(0)},
+        tried as (select r.req_id, far, a.g as by_tile, case when far < 5000 then b.g end as by_local, case when far < 50000 and end2.req_id is not null then p.g end as by_arterial, case when end2.req_id is not null then h.g end as by_highway from r
+        left join tile_end using (req_id) left join way_tile a on a.id = tile_end left join end2 using (req_id) left join way2 b on b.id = {2 * KEY} + end2 left join end1 using (req_id) left join way1 p on p.id = end1 left join end0 using (req_id) left join way0 h on h.id = end0)
+        select req_id, case when by_tile is not null then 'tile' when by_local is not null then 'local' when by_arterial is not null then 'arterial' else 'highway' end as how, coalesce(by_tile, by_local, by_arterial, by_highway)::bigint as cost_cs from tried where coalesce(by_tile, by_local, by_arterial, by_highway) is not null""",
+    )
+
+
+def front_door_routes(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    whole = written(multi_level_graph(spark, d), "graph")
+    return front_door.find_route(door_requests(spark, d), level_graphs(spark, d), whole, level_places(spark, d), mode)
+
+
+@query("front_door_routes", front_door_sql("exact"))
+def _front_door(spark: SparkSession, d: str) -> DataFrame:
+    return front_door_routes(spark, d, "exact").select("req_id", "how", "cost_cs")
+
+
+@query("front_door_routes_in_end_tile", front_door_sql("end_tile"))
+def _front_door_in_tile(spark: SparkSession, d: str) -> DataFrame:
+    return front_door_routes(spark, d, "end_tile").select("req_id", "how", "cost_cs")

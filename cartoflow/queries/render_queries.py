@@ -236,23 +236,24 @@ def _triangles(spark: SparkSession, d: str) -> DataFrame:
 
 
 VIEW = "tile_x between 841 and 844 and tile_y between 4710 and 4713"
+DECODED = f"select tile_y * 0.01::double + y1 * 0.01::double / 3000 as lat1, tile_x * 0.01::double + x1 * 0.01::double / 3000 as lon1, tile_y * 0.01::double + y2 * 0.01::double / 3000 as lat2, tile_x * 0.01::double + x2 * 0.01::double / 3000 as lon2 from (select tile_x, tile_y, {OFFSETS} from cut) where {VIEW}"
 
 
 @query(
     "render_frame_counts",
     with_views(
         "ways refs nodes_grid poi_nodes areas",
-        f"""{ROADS}, dec as (select tile_y * 0.01::double + y1 * 0.01::double / 3000 as lat1, tile_x * 0.01::double + x1 * 0.01::double / 3000 as lon1, tile_y * 0.01::double + y2 * 0.01::double / 3000 as lat2, tile_x * 0.01::double + x2 * 0.01::double / 3000 as lon2 from (select tile_x, tile_y, {OFFSETS} from cut) where {VIEW}), {ONSCREEN}
+        f"""dec as (with {ROADS} {DECODED}), wet as (with {WATERS} {DECODED}), {ONSCREEN}
         select 'roads' as layer, count(*)::bigint as n from (select {_X1} as sx1, {_Y1} as sy1, {_X2} as sx2, {_Y2} as sy2 from dec) where {SEEN}
         union all select 'pois', count(*)::bigint from (select {_PX} as sx, {_PY} as sy from poi_nodes where {POI} is not null) where sx between -20 and 820 and sy between -20 and 820
         union all select 'triangles', sum(len(s) - 2)::bigint from vis
-        union all select 'waterways', 0::bigint""",
+        union all select 'waterways', count(*)::bigint from (select {_X1} as sx1, {_Y1} as sy1, {_X2} as sx2, {_Y2} as sy2 from wet) where {SEEN}""",
     ),
 )
 def _frame(spark: SparkSession, d: str) -> DataFrame:
-    tiles = viewport.load_visible(render_etl.road_tiles(*layers(spark, d)), *VEHICLE[:2])
-    roads = viewport.decode_segments(tiles)
-    frame = viewport.render_all(roads, render_etl.node_pois(X.poi_nodes(spark, d)), X.areas(spark, d), roads.limit(0), VEHICLE)
+    near = lambda tiles: viewport.decode_segments(viewport.load_visible(tiles, *VEHICLE[:2]))
+    roads, waters = near(render_etl.road_tiles(*layers(spark, d))), near(render_etl.waterway_tiles(*layers(spark, d)))
+    frame = viewport.render_all(roads, render_etl.node_pois(X.poi_nodes(spark, d)), X.areas(spark, d), waters, VEHICLE)
     out = None
     for name, df in frame.items():
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("layer"), "n")

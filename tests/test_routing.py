@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cartoflow.functions import grid
 from cartoflow.operators import search, snap
-from cartoflow.plans import routing
+from cartoflow.plans import front_door, routing
 from cartoflow.queries import ORACLES, QUERIES, graph_queries
 from cartoflow.sources import fixtures as X
 from cartoflow.sources import readers
@@ -191,3 +191,37 @@ def test_broken_geojson_fails(spark):
 
 def test_fixture_points(spark):
     assert X.areas(spark, SF).filter("size(points) = 6").count() == 10
+
+
+def test_routes_of_one_tile(spark, monkeypatch):
+    """Only edges within the end's tile; many requests of a tile in several groups; the start moved there or the request left out."""
+    monkeypatch.setattr(front_door, "REQUESTS_A_TASK", 2)
+    micro = {1: (46_501_000, 9_301_000), 2: (46_501_000, 9_305_000), 3: (46_505_000, 9_309_000), 4: (46_505_000, 9_311_000), 5: (46_509_000, 9_301_000)}
+    nodes = spark.createDataFrame([(k, *v) for k, v in micro.items()], "node_id long, lat_micro int, lon_micro int")
+    links = [(1, 2, 100), (2, 3, 100), (1, 4, 1), (4, 3, 1), (3, 1, 70)]
+    edges = spark.createDataFrame([(a, b, w, w) for a, b, w in links], "src long, dst long, weight_cs long, distance_cm long")
+    place = lambda n: tuple(x / 1e6 for x in micro[n])
+    asked = [(i, *place(1), *place(3)) for i in range(9)] + [(20, *place(4), *place(3)), (21, *place(1), *place(5)), (22, *place(1), 40.0, 9.0)]
+    asked = spark.createDataFrame(asked, "req_id long, lat1 double, lon1 double, lat2 double, lon2 double")
+    exact, moved = ({r.req_id: (r.path, r.cost_cs) for r in front_door.single_tile_routes(asked, nodes, edges, m).collect()} for m in ("exact", "end_tile"))
+    assert exact == {i: ([1, 2, 3], 200) for i in range(9)}
+    assert moved == exact | {20: ([3], 0)}
+    with pytest.raises(ValueError, match="mode"):
+        front_door.single_tile_routes(asked, nodes, edges, "other")
+
+
+def test_front_door_paths_are_what_they_cost(spark):
+    k = routing.LEVEL_KEY
+    whole = {}
+    for r in graph_queries.multi_level_graph(spark, SF).collect():
+        whole[r.src, r.dst] = min(whole.get((r.src, r.dst), 1 << 60), r.weight_cs)
+    routes = graph_queries.front_door_routes(spark, SF, "end_tile")
+    for r in routes.collect():
+        steps = list(zip(r.path, r.path[1:], strict=False))
+        if r.how in ("arterial", "highway"):
+            level = {"arterial": 1, "highway": 0}[r.how]
+            assert r.path[0] // k == 2 and {x // k for x in r.path[1:-1]} <= {level}
+            steps = [s for s in steps if {x // k for x in s} == {level}]
+        assert sum(whole[s] for s in steps) == r.cost_cs == round(r.time_s * 100)
+    parts = front_door.door_segments(routes, graph_queries.level_graphs(spark, SF)[2][1].withColumn("name", F.lit("n")))
+    assert {r.instruction for r in parts.filter("name is null").collect()} <= {"Start"}
