@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,27 +15,50 @@ from ..constants import GOOD_ACCURACY_M, HEADING_SMOOTHING, POOR_ACCURACY_M, POS
 from ..functions import classify
 
 
-def _turned(h: Column, target: Column) -> Column:
-    d = target - h
-    d = F.when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d)
-    return F.pmod(h + d * HEADING_SMOOTHING, F.lit(360.0))
+def _toward(now: float | None, target: float | None, share: float) -> float | None:
+    return None if now is None or target is None else now + (target - now) * share
+
+
+def _turned(now: float | None, target: float | None) -> float | None:
+    if now is None or target is None:
+        return None
+    d = target - now
+    d = d - 360 if d > 180 else d + 360 if d < -180 else d
+    return (now + d * HEADING_SMOOTHING) % 360
 
 
 def smoothed(fixes: DataFrame, ticks_per_fix: int = 1) -> DataFrame:
     """vehicle, lat, lon, heading after all fixes, in order of ts and event_id.
 
     The first fix sets the state; every fix is a target that the state then
-    approaches ``ticks_per_fix`` times.
+    approaches ``ticks_per_fix`` times.  A null value stays null from there on;
+    fixes without a vehicle are one vehicle.  One pass over sorted partitions,
+    which Spark can spill: a vehicle's history is never held as a whole.
     """
+    out_type = f"vehicle {fixes.schema['vehicle'].dataType.simpleString()}, lat double, lon double, heading double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vehicle, now = None, None
+        for batch in batches:
+            columns, done = [c.to_pylist() for c in batch.columns], []
+            for who, *fix in zip(*columns, strict=True):
+                if now is None or who != vehicle:
+                    if now is not None:
+                        done.append((vehicle, *now))
+                    vehicle, now = who, fix
+                for _ in range(ticks_per_fix):
+                    now = (_toward(now[0], fix[0], POSITION_SMOOTHING), _toward(now[1], fix[1], POSITION_SMOOTHING), _turned(now[2], fix[2]))
+            schema = batch.schema
+            yield _rows(done, schema)
+        if now is not None:
+            yield _rows([(vehicle, *now)], schema)
 
-    def tick(s: Column, x: Column) -> Column:
-        for _ in range(ticks_per_fix):
-            s = F.struct((s["lat"] + (x["lat"] - s["lat"]) * POSITION_SMOOTHING).alias("lat"), (s["lon"] + (x["lon"] - s["lon"]) * POSITION_SMOOTHING).alias("lon"), _turned(s["heading"], x["heading"]).alias("heading"))
-        return s
+    ordered = fixes.repartition("vehicle").sortWithinPartitions("vehicle", "ts", "event_id")
+    return ordered.select("vehicle", *(F.col(c).cast("double").alias(c) for c in ("lat", "lon", "heading"))).mapInArrow(run, out_type)
 
-    ordered = fixes.groupBy("vehicle").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "lat", "lon", "heading"))).alias("f"))
-    first = F.struct(F.get("f", F.lit(0))["lat"].alias("lat"), F.get("f", F.lit(0))["lon"].alias("lon"), F.get("f", F.lit(0))["heading"].alias("heading"))
-    return ordered.select("vehicle", F.aggregate("f", first, tick).alias("s")).select("vehicle", "s.*")
+
+def _rows(rows: list[tuple[Any, ...]], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
 
 def status_changes(fixes: DataFrame) -> DataFrame:
@@ -73,6 +97,9 @@ def _status(accuracy: float) -> int:
 
 def _advance(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """A row a fix: the smoothed state after it, its status and whether that has changed."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     fixes = pd.concat(list(frames)).sort_values(["ts", "event_id"])
     now = state.get if state.exists else None
     out = []
@@ -87,6 +114,25 @@ def _advance(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupS
     yield pd.DataFrame(out, columns=["vehicle", "ts", "event_id", "lat", "lon", "heading", "status", "changed"])
 
 
-def gps_stream(fixes: DataFrame) -> DataFrame:
-    """The stateful stream over fixes (vehicle, ts, event_id, lat, lon, heading, accuracy_m), one tick a fix."""
-    return fixes.groupBy("vehicle").applyInPandasWithState(_advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+def letting_go(idle_ms: int):
+    """``_advance`` for states that end after ``idle_ms`` without a fix."""
+
+    def advance(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if not state.hasTimedOut:
+            state.setTimeoutDuration(idle_ms)
+        yield from _advance(key, frames, state)
+
+    return advance
+
+
+def gps_stream(fixes: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """The stateful stream over fixes (vehicle, ts, event_id, lat, lon, heading, accuracy_m), one tick a fix.
+
+    A vehicle that sends nothing for ``idle_ms`` of processing time is let go, and
+    its next fix is a first one; without ``idle_ms`` the state of every vehicle
+    stays.  With ``idle_ms`` the stream never runs out of batches, so it takes a
+    trigger by time, not availableNow.  Fixes are put in order within a micro-batch.
+    """
+    if idle_ms is None:
+        return fixes.groupBy("vehicle").applyInPandasWithState(_advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return fixes.groupBy("vehicle").applyInPandasWithState(letting_go(idle_ms), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
