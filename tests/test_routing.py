@@ -2,12 +2,14 @@
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cartoflow.functions import grid
 from cartoflow.operators import search, snap
-from cartoflow.plans import front_door, routing
+from cartoflow.plans import batch, front_door, routing
 from cartoflow.queries import ORACLES, QUERIES, graph_queries
 from cartoflow.sources import fixtures as X
 from cartoflow.sources import readers
@@ -225,3 +227,40 @@ def test_front_door_paths_are_what_they_cost(spark):
         assert sum(whole[s] for s in steps) == r.cost_cs == round(r.time_s * 100)
     parts = front_door.door_segments(routes, graph_queries.level_graphs(spark, SF)[2][1].withColumn("name", F.lit("n")))
     assert {r.instruction for r in parts.filter("name is null").collect()} <= {"Start"}
+
+
+def test_shared_searches_cost_what_dijkstra_says(spark, monkeypatch):
+    """Separators of small regions, one-way and free edges, an island, ends that are no node, equal ends, one request twice."""
+    monkeypatch.setattr(batch, "LEAST_REGION", 12)
+    rng = __import__("random").Random(7)
+    at = lambda i: (47.0 + i // 5 / 1000, 8.0 + i % 5 / 1000)
+    pairs = [(i, i + 1) for i in range(200) if i % 5 != 4] + [(i, i + 5) for i in range(195)] + [(300, 301)]
+    links = [(a, b, rng.choice((0, 0, 3, 7, 40))) for x, y in pairs for a, b in ((x, y), (y, x)) if rng.random() < 0.9]
+    nodes = spark.createDataFrame([(i, *at(i)) for i in (*range(200), 300, 301)], "node_id long, lat double, lon double")
+    edges = spark.createDataFrame([(a, b, 1, w) for a, b, w in links], "src long, dst long, distance_cm long, weight_cs long")
+    asked = [(i, rng.randrange(200), rng.randrange(200)) for i in range(400)] + [(500, 3, 301), (501, 999, 3), (502, 999, 999), (503, 3, None), (7, 0, 199), (7, 0, 199)]
+    found = routing.point_to_point(spark.createDataFrame(asked, "req_id long, src long, dst long"), edges, nodes).collect()
+    assert sorted((r.req_id, r.src, r.dst or -1) for r in found) == sorted((i, a, b or -1) for i, a, b in asked)
+    least = {}
+    for a, b, w in links:
+        least[a, b] = min(least.get((a, b), w), w)
+    costs = {s: dijkstra(links, s) for s in {a for _, a, _ in asked}}
+    for r in found:
+        assert r.cost_cs == costs[r.src].get(r.dst)
+        if r.cost_cs is None:
+            assert r.path == []
+        else:
+            assert (r.path[0], r.path[-1]) == (r.src, r.dst) and len(set(r.path)) <= len(r.path)
+            assert sum(least[p] for p in zip(r.path, r.path[1:], strict=False)) == r.cost_cs
+
+
+def test_shared_searches_are_few(spark, monkeypatch):
+    """One search for all requests of a start: the number of nodes that each search alone would settle is not paid again."""
+    calls = []
+    spread = batch.spread
+    monkeypatch.setattr(batch, "spread", lambda *a, **k: calls.append(1) or spread(*a, **k))
+    plan = batch.Plan(np.arange(50), batch.Links(np.arange(49), np.arange(1, 50), np.ones(49, np.int64), 50), None, np.ones(50, np.int64), {}, True, 1)
+    rows = np.arange(1, 50)
+    table = pa.table({"req_id": rows, "region": np.ones(49, np.int64), "via": np.zeros(49, np.int64), "s": np.zeros(49, np.int64), "d": rows})
+    out = pa.Table.from_batches(list(batch._paths(plan, table)))
+    assert len(calls) == 1 and out.column("cost_cs").to_pylist() == list(range(1, 50)) and out.column("path").to_pylist()[-1] == list(range(50))
