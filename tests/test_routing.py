@@ -271,3 +271,13 @@ def test_graphs_of_a_few_million_edges_need_no_corridors():
     assert routing.BROADCAST_EDGES >= 5_000_000
     links = batch.Links(np.zeros(10, np.int64), np.zeros(10, np.int64), np.ones(10, np.int64), 1)
     assert links.to.itemsize + links.weight.itemsize <= 12
+
+
+def test_places_are_asked_once(spark, monkeypatch):
+    """Many points at one place: one of them meets the nodes, and each gets its row."""
+    sizes, nearest = [], snap._nearest
+    monkeypatch.setattr(snap, "_nearest", lambda points, *a: sizes.append(points.count()) or nearest(points, *a))
+    points = spark.createDataFrame([(i, 47_000_100, 8_000_100) for i in range(50)] + [(99, -33_000_000, -70_000_000)], "point_id long, lat_micro int, lon_micro int")
+    nodes = spark.createDataFrame([(4, 47_000_000, 8_000_000), (5, -33_000_001, -70_000_001)], "node_id long, lat_micro int, lon_micro int")
+    found = {r.point_id: r.node_id for r in snap.snap_nearest(points, nodes).collect()}
+    assert found == dict.fromkeys(range(50), 4) | {99: 5} and sizes[0] == 2
