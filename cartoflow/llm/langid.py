@@ -26,10 +26,7 @@ from .common import documents, slices
 #: Lengths of n-grams and slots that they are hashed to.
 GRAMS = (1, 2, 3)
 SLOTS = 1 << 16
-#: Labelled rows of a language that are learnt from, about: a bounded sample, by hash of the id.
-SAMPLE_ROWS = 4000
-#: Tasks that count; each returns SLOTS numbers a language.  Languages of a part of the model, which is what a task holds at once.
-COUNTERS = 6
+#: Languages of a part of the model, which is what a task holds at once.
 PART_LANGUAGES = 64
 SMOOTHING = 0.5
 #: Standard deviations that a text's mean log likelihood may lie below that of its language.
@@ -94,8 +91,8 @@ class Model:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learnt from rows that are not held out and have text and language, about SAMPLE_ROWS of each language; priors from all of them."""
-    rows = df.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("_h"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
+    """Learnt from rows that are not held out and have text and language, all of them."""
+    rows = df.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
     totals = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy("_lang").collect()}  # a row a language
     langs = sorted(totals)
     parts = [_part(rows, {x: totals[x] for x in langs[i : i + PART_LANGUAGES]}) for i in range(0, len(langs), PART_LANGUAGES)]
@@ -103,23 +100,41 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
 
 def _part(rows: DataFrame, totals: dict[str, int]) -> object:
-    shares = F.create_map(*(x for lang, n in totals.items() for x in (F.lit(lang), F.lit(min(1.0, SAMPLE_ROWS / n)))))
-    sample = rows.filter(F.col("_lang").isin(list(totals)) & (F.pmod("_h", F.lit(1 << 20)) < F.element_at(shares, F.col("_lang")) * (1 << 20))).select("_lang", "_text").repartition(COUNTERS)
+    langs = sorted(totals)
+    place = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums, waiting, held = np.zeros((len(langs), SLOTS), np.int64), {}, 0
+
+        def settle() -> None:
+            for i, slots in waiting.items():
+                sums[i] += np.bincount(np.concatenate(slots), minlength=SLOTS)
+            waiting.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = sums.setdefault(lang, np.zeros(SLOTS, np.int64))
-                slots, n = slot_counts(text.as_py())
-                own[slots] += n
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["lang", "sums"])
-
-    counted = {lang: np.zeros(SLOTS) for lang in totals}
-    for r in sample.mapInArrow(count, "lang string, sums binary").collect():  # COUNTERS rows a language
-        counted[r["lang"]] += np.frombuffer(r["sums"], np.int64)
-    table = np.stack([counted[x] for x in sorted(counted)], axis=1) + SMOOTHING
+                lowered = text.as_py().lower()
+                if len(lowered) > HASHED:
+                    slots, n = slot_counts(lowered)
+                    sums[place[lang], slots] += n
+                    continue
+                waiting.setdefault(place[lang], []).append(slots_of(lowered))
+                held += len(lowered)
+                if held > HASHED:
+                    settle()
+                    held = 0
+        settle()
+        for i, own in enumerate(sums):
+            slots = np.flatnonzero(own)
+            if len(slots):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), i, np.int32)), pa.array(slots.astype(np.int32)), pa.array(own[slots])], names=["lang", "slot", "n"])
+
+    counted = np.zeros((SLOTS, len(langs)))
+    learnt = rows.filter(F.col("_lang").isin(langs)).select("_lang", "_text").mapInArrow(count, "lang int, slot int, n long")
+    sums = learnt.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows a language at most
+    lang, slot, n = (sums.column(c).to_numpy() for c in ("lang", "slot", "n"))
+    counted[slot, lang] = n
+    table = counted + SMOOTHING
     return rows.sparkSession.sparkContext.broadcast(np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
@@ -191,18 +206,12 @@ def evident(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     per_gram, the mean log likelihood of an n-gram, does not grow with length as
     the score does.  The bound lies MOST_BELOW standard deviations below the mean
-    of held-out labelled rows, about SAMPLE_ROWS a language; short texts, whose
-    means vary more, get the variance of their n-grams besides.  Without such
+    of all held-out labelled rows; short texts, whose means vary more, get the variance of their n-grams besides.  Without such
     rows, true.
     """
     rows = df.filter(held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    totals = {r["lang"]: r["n"] for r in rows.filter(F.col("lang").isin(model.langs)).groupBy("lang").agg(F.count("*").alias("n")).collect()}
     bound = F.lit(True)
-    if not totals:
-        return bound
-    shares = F.create_map(*(x for lang, n in totals.items() for x in (F.lit(lang), F.lit(min(1.0, SAMPLE_ROWS / n)))))
-    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.element_at(shares, F.col("lang")) * (1 << 20))
-    judged = _tagged(some, model, ["lang"], "id", "text").filter("lang_pred = c0")
+    judged = _tagged(rows.filter(F.col("lang").isin(model.langs)), model, ["lang"], "id", "text").filter("lang_pred = c0")
     spread = model.spread()
     for r in judged.groupBy("c0").agg(F.avg("per_gram").alias("mean"), F.var_pop("per_gram").alias("var")).orderBy("c0").collect():
         # n-grams of all lengths start at each character, so so many fewer are independent

@@ -546,3 +546,13 @@ def test_pipeline_on_nothing(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, SF), name)
     assert docs.count() == 0
+
+
+def test_language_model_learns_from_every_row(spark):
+    """More rows of a language than a bounded sample would take: every n-gram of every row is counted, and the bounds see every held-out row."""
+    rows = [(i, f"word{chr(0x4E00 + i)}", "en") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learnt = [t for i, t, _ in rows if __import__("zlib").crc32(str(i).encode()) % 5]
+    counts = sum(np.bincount(langid.slots_of(t), minlength=langid.SLOTS) for t in learnt) + langid.SMOOTHING
+    table = langid.fit(df).parts[0].value[:, 0]
+    assert np.allclose(table, np.log(counts / counts.sum()), atol=1e-5)
