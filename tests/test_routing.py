@@ -281,3 +281,14 @@ def test_places_are_asked_once(spark, monkeypatch):
     nodes = spark.createDataFrame([(4, 47_000_000, 8_000_000), (5, -33_000_001, -70_000_001)], "node_id long, lat_micro int, lon_micro int")
     found = {r.point_id: r.node_id for r in snap.snap_nearest(points, nodes).collect()}
     assert found == dict.fromkeys(range(50), 4) | {99: 5} and sizes[0] == 2
+
+
+def test_steps_are_not_dealt_anew_and_classes_are_joined_before_tiles(spark):
+    """No window over the steps of paths; a way's class comes along with its segments."""
+    routes = spark.createDataFrame([(1, [1, 2, 3])], "req_id long, path array<long>")
+    edges = spark.createDataFrame([(1, 2, 5, 100, "a"), (2, 3, 5, 200, None)], "src long, dst long, weight_cs long, distance_cm long, name string")
+    segs = routing.route_segments(routes, edges)
+    assert "Window" not in segs._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.step, r.name, r.instruction, r.distance_m) for r in segs.collect()) == [(0, "a", "Start", 1.0), (1, None, "Arrive", 2.0)]
+    plan = QUERIES["road_tiles_clipped"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("Generate")]
