@@ -292,3 +292,35 @@ def test_steps_are_not_dealt_anew_and_classes_are_joined_before_tiles(spark):
     assert sorted((r.step, r.name, r.instruction, r.distance_m) for r in segs.collect()) == [(0, "a", "Start", 1.0), (1, None, "Arrive", 2.0)]
     plan = QUERIES["road_tiles_clipped"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan[: plan.index("Generate")]
+
+
+def _counted(monkeypatch):
+    asked, solve = [], routing.point_to_point
+    monkeypatch.setattr(routing, "point_to_point", lambda requests, *a: asked.append(requests.count()) or solve(requests, *a))
+    return asked
+
+
+def _placed(spark, *nodes):
+    return spark.createDataFrame([(i, y, x, y / 1e6, x / 1e6) for i, y, x in nodes], "node_id long, lat_micro int, lon_micro int, lat double, lon double")
+
+
+LINKS = "src long, dst long, weight_cs long, distance_cm long"
+ASKED = "req_id long, lat1 double, lon1 double, lat2 double, lon2 double"
+
+
+def test_requests_with_the_same_ends_are_searched_once(spark, monkeypatch):
+    asked, k = _counted(monkeypatch), 2 * routing.LEVEL_KEY
+    nodes = _placed(spark, (1, 46_501_000, 9_301_000), (2, 46_501_000, 9_305_000))
+    requests = spark.createDataFrame([(i, 46.501, 9.301, 46.501, 9.305) for i in range(6)], ASKED)
+    found = front_door.local_routes(requests, nodes, spark.createDataFrame([(k + 1, k + 2, 7, 9)], LINKS), nodes.withColumn("node_id", F.col("node_id") + k)).collect()
+    assert sorted(map(tuple, found)) == [(i, [k + 1, k + 2], 9, 7) for i in range(6)] and asked == [1]
+
+
+def test_levels_are_asked_for_what_is_open(spark, monkeypatch):
+    asked = _counted(monkeypatch)
+    nodes = _placed(spark, (1, 46_501_000, 9_301_000), (2, 46_501_000, 9_305_000), (3, 46_505_000, 9_301_000))
+    links = lambda *rows: spark.createDataFrame(rows, LINKS)
+    graphs = {0: (nodes, links((1, 2, 1, 1))), 1: (nodes, links((1, 2, 1, 1), (1, 3, 2, 2))), 2: (nodes, links((1, 2, 5, 5)))}
+    requests = spark.createDataFrame([(1, 46.501, 9.301, 46.501, 9.305), (2, 46.501, 9.301, 46.505, 9.301)], ASKED)
+    found = routing.find_routes(requests, graphs).collect()
+    assert sorted(map(tuple, found)) == [(1, 2, [1, 2], 5), (2, 1, [1, 3], 2)] and asked == [2, 1, 0]
