@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartoflow.functions import grid
 from cartoflow.operators import search, snap
-from cartoflow.plans import batch, front_door, routing
+from cartoflow.plans import batch, components, front_door, routing
 from cartoflow.queries import ORACLES, QUERIES, graph_queries
 from cartoflow.sources import fixtures as X
 from cartoflow.sources import readers
@@ -324,3 +324,19 @@ def test_levels_are_asked_for_what_is_open(spark, monkeypatch):
     requests = spark.createDataFrame([(1, 46.501, 9.301, 46.501, 9.305), (2, 46.501, 9.301, 46.505, 9.301)], ASKED)
     found = routing.find_routes(requests, graphs).collect()
     assert sorted(map(tuple, found)) == [(1, 2, [1, 2], 5), (2, 1, [1, 3], 2)] and asked == [2, 1, 0]
+
+
+def test_only_components_of_requests_are_searched(spark, monkeypatch):
+    """Of a large graph the parts that no request can use are neither gathered nor searched; costs stay those of the whole graph."""
+    rng = np.random.default_rng(11)
+    links = [(100 * part + int(a), 100 * part + int(b), int(w)) for part in range(5) for a, b, w in zip(*rng.integers(0, 40, (2, 90)), rng.integers(0, 50, 90), strict=True)]
+    edges = spark.createDataFrame([(a, b, w, w) for a, b, w in links], LINKS)
+    nodes = _placed(spark, *((100 * part + i, 46_500_000 + 1000 * i, 9_300_000 + 1000 * part) for part in range(5) for i in range(40)))
+    asked = [(i, 100 * int(part) + int(a), 100 * int(part if i % 3 else 4 - part) + int(b)) for i, (part, a, b) in enumerate(zip(rng.integers(0, 2, 60), *rng.integers(0, 40, (2, 60)), strict=True))]
+    requests = spark.createDataFrame(asked, "req_id long, src long, dst long")
+    seen, solve = [], batch.solve
+    monkeypatch.setattr(batch, "solve", lambda r, best, n: seen.extend({x.src // 100 for x in best.collect()}) or solve(r, best, n))
+    monkeypatch.setattr(routing, "WHOLE_EDGES", 10)
+    monkeypatch.setattr(components, "HELD_EDGES", 16)
+    found = {r.req_id: r.cost_cs for r in routing.point_to_point(requests, edges, nodes).collect()}
+    assert found == {i: dijkstra(links, a).get(b) for i, a, b in asked} and seen and set(seen) == {0, 1}
