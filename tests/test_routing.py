@@ -340,3 +340,9 @@ def test_only_components_of_requests_are_searched(spark, monkeypatch):
     monkeypatch.setattr(components, "HELD_EDGES", 16)
     found = {r.req_id: r.cost_cs for r in routing.point_to_point(requests, edges, nodes).collect()}
     assert found == {i: dijkstra(links, a).get(b) for i, a, b in asked} and seen and set(seen) == {0, 1}
+
+
+def test_level_edges_are_written_with_what_routes_need(spark):
+    """The names and classes of ways do not lie on disk for every edge."""
+    edges, held = graph_queries.weighted_edges(spark, SF)
+    assert edges.columns == ["src", "dst", "weight_cs", "distance_cm", "level"] and set(held.columns) >= {"level", "node_id", "lat_micro", "lon_micro"}
