@@ -346,3 +346,14 @@ def test_level_edges_are_written_with_what_routes_need(spark):
     """The names and classes of ways do not lie on disk for every edge."""
     edges, held = graph_queries.weighted_edges(spark, SF)
     assert edges.columns == ["src", "dst", "weight_cs", "distance_cm", "level"] and set(held.columns) >= {"level", "node_id", "lat_micro", "lon_micro"}
+
+
+def test_levels_search_only_components_of_requests(spark, monkeypatch):
+    """Each level of find_routes is cut to the components of what is open on it."""
+    monkeypatch.setattr(routing, "WHOLE_EDGES", 1)
+    seen, cheapest = [], routing.cheapest_edges
+    monkeypatch.setattr(routing, "cheapest_edges", lambda edges: seen.append(sorted((r.src, r.dst) for r in edges.collect())) or cheapest(edges))
+    nodes = _placed(spark, (1, 46_501_000, 9_301_000), (2, 46_501_000, 9_305_000), (3, 46_701_000, 9_701_000), (4, 46_701_000, 9_705_000))
+    graph = spark.createDataFrame([(1, 2, 1, 1), (3, 4, 1, 1), (4, 3, 1, 1)], LINKS)
+    found = routing.find_routes(spark.createDataFrame([(1, 46.501, 9.301, 46.501, 9.305)], ASKED), {2: (nodes, graph), 1: (nodes, graph), 0: (nodes, graph)}).collect()
+    assert [tuple(r) for r in found] == [(1, 2, [1, 2], 1)] and seen == [[(1, 2)], [], []]
