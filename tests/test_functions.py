@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,18 @@ def test_tiles_to_load_and_keep_need_no_join(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 0, 0, "load"), (1, 0, 1, "keep"), (2, 5, 5, "load")]
     plan = QUERIES["tiles_to_load_and_keep"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Broadcast" not in plan
+
+
+def test_clipping_by_arrays_is_clipping_by_columns(spark, monkeypatch):
+    """The same tiles and offsets as column by column, also for upright, level, long and single-point segments, and in small parts."""
+    monkeypatch.setattr(render_etl, "HELD_TILES", 50)
+    rng = np.random.default_rng(5)
+    rows = [(i, 47 + a / 1000, 8 + b / 1000, 47 + c / 1000, 8 + d / 1000) for i, (a, b, c, d) in enumerate(rng.integers(-60, 60, (200, 4)).tolist())]
+    rows += [(300, 47.005, 8.02, 47.305, 8.02), (301, 47.01, 8.0, 47.01, 8.2), (302, 47.03, 8.03, 47.03, 8.03), (303, -0.01, -0.02, 0.01, 0.02), (304, None, 8.0, 47.0, 8.1)]
+    segs = spark.createDataFrame(rows, "way_id long, lat1 double, lon1 double, lat2 double, lon2 double")
+    found = render_etl.clipped_segments(segs)
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    offset = lambda c, o: grid.to_offset(F.col(c), F.col(o)).alias(c)
+    cut = geometry.clip_segments(render_etl.with_tile_box(render_etl.segment_tiles(segs.filter("lat1 is not null"))))  # an end without a place is in no tile
+    expected = cut.select("way_id", "tile_x", "tile_y", offset("lon1", "min_lon"), offset("lat1", "min_lat"), offset("lon2", "min_lon"), offset("lat2", "min_lat"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
